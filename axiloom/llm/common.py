@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: dict[str, str] = {}
 
 
@@ -38,9 +39,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends in files that outlive any executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # what the write has shuffled is of no use after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lower_az(text: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axiloom.llm import exact_dedup, mixing, packing, quality, simhash
+from axiloom.llm import exact_dedup, language, mixing, packing, quality, repeats, simhash, toxicity
 from axiloom.llm.common import table
 
 
@@ -16,15 +16,39 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def _held_out(parts: int, part: int) -> Column:
+    """Whether crc32 of doc_id as text, modulo parts, is part; a null doc_id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~_held_out(3, 1) & F.col("doc_id").isNotNull()))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = table(spark, sf_dir, "labels").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs, marks.where(~_held_out(5, 0)))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op3_mixing, op5_exact_dedup, op7_quality_rules, op9_packing)
+    f.__name__: f for f in (op1_simhash, op2_suffix_array, op3_mixing, op4_language, op5_exact_dedup, op6_toxicity, op7_quality_rules, op9_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
