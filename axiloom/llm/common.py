@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +53,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(), with this package sent to the executors once per application."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        if top.is_dir():  # from a zip file it already came with the application
+            target = Path(tempfile.mkdtemp(prefix="axiloom-code-")) / f"{top.name}.zip"
+            with zipfile.ZipFile(target, "w") as z:
+                for f in sorted(top.rglob("*.py")):
+                    z.write(f, f.relative_to(top.parent))
+            sc.addPyFile(str(target))
+        _shipped.add(sc.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def lower_az(text: Column) -> Column:
     """A-Z to a-z and nothing else. For pure ASCII, lower() does just that and is many times faster than translate()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))

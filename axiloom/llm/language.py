@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axiloom.llm.common import map_arrow
 from axiloom.llm.sampling import sample_by_class
 
 BITS, PER_LANGUAGE, CENTROIDS, SHARPNESS = 14, 300, 3, 25.0
@@ -96,7 +97,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
                 if (found := ngram_counts(text.as_py())) is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([found[0].astype(np.int32)]), pa.array([found[1].astype(np.int32)])], ["lang", "at", "n"])
 
-    got = chosen.select("lang", "text").mapInArrow(vectors, "lang string, at array<int>, n array<int>").collect()
+    got = map_arrow(chosen.select("lang", "text"), vectors, "lang string, at array<int>, n array<int>").collect()
     languages = sorted({r["lang"] for r in got}, key=lambda s: s.encode())
     df = np.zeros(1 << BITS)
     for r in got:
@@ -129,4 +130,4 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
             lang, score, out = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double, rejected boolean")

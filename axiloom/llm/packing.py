@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axiloom.llm.common import materialize, prefix_sums
+from axiloom.llm.common import map_arrow, materialize, prefix_sums
 
 WINDOW = 2048
 END = 1
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
             yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in c] if n == 5 else c, schema.types[n]) for n, c in enumerate(out)], schema=schema)
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, kinds)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), cut, kinds)
 
 
 def fill(counts: dict[int, int], capacity: int) -> tuple[int, "OrderedDict[int, int]"]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axiloom.llm import exact_dedup, language, mixing, packing, quality, repeats, simhash, toxicity
+from axiloom.llm import exact_dedup, html_text, language, licences, mixing, packing, quality, repeats, simhash, toxicity
 from axiloom.llm.common import table
 
 
@@ -53,14 +53,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages.select("page_id", "html"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_suffix_array, op3_mixing, op4_language, op5_exact_dedup, op6_toxicity, op7_quality_rules, op9_packing)
+    f.__name__: f for f in (op1_simhash, op2_suffix_array, op3_mixing, op4_language, op5_exact_dedup, op6_toxicity, op7_quality_rules, op8_html_text, op9_packing, op10_licences)
 }
 
 ORACLE_SQL: dict[str, str] = {

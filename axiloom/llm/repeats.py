@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axiloom.llm.common import materialize
+from axiloom.llm.common import map_arrow, materialize
 
 LENGTH, GRAM = 200, 100
 #: Texts are hashed in pieces of so many bytes, which overlap.
@@ -289,8 +289,8 @@ def _repeated_grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
         if told:
             yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int32())], ["did", "place"])
 
-    found = texts.select("did", "body").mapInArrow(find, "gram long, did long, place int")
-    met = found.repartition("gram").sortWithinPartitions("gram").mapInArrow(twice, "did long, place int")
+    found = map_arrow(texts.select("did", "body"), find, "gram long, did long, place int")
+    met = map_arrow(found.repartition("gram").sortWithinPartitions("gram"), twice, "did long, place int")
     return met.groupBy("did").agg(F.collect_set("place").alias("places"))
 
 
@@ -323,7 +323,7 @@ def _runs(texts: DataFrame, places: DataFrame, buckets: int, length: int, gram:
         yield from flush(held)
 
     met = texts.join(places, "did").select("did", "h", "body", "places")
-    return met.mapInArrow(lambda batches: _batches(schema, rows(batches)), kinds)
+    return map_arrow(met, lambda batches: _batches(schema, rows(batches)), kinds)
 
 
 def _merged_spans(runs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -372,7 +372,7 @@ def _merged_spans(runs: DataFrame, length: int, gram: int) -> DataFrame:
             yield from spans(own)
 
     dealt = runs.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda batches: _batches(schema, rows(batches)), "context binary, most int, least int")
+    return map_arrow(dealt, lambda batches: _batches(schema, rows(batches)), "context binary, most int, least int")
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -423,4 +423,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     # a text without spans, most often the case, needs no meeting: but which those are is known only after the join
     met = texts.join(spans, ["did", "h"], "left").select("doc_id", "body", "spans")
-    return met.mapInArrow(lambda batches: _batches(schema, rows(batches)), kinds)
+    return map_arrow(met, lambda batches: _batches(schema, rows(batches)), kinds)

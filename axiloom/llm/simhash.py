@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axiloom.llm.common import materialize
+from axiloom.llm.common import map_arrow, materialize
 from axiloom.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             got = [signed(fingerprint(t.as_py() or b"")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "doc_id long, fp long")
 
 
 def _search(fp: np.ndarray, distance: int):
@@ -151,7 +151,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held is not None and len(held[0]):
             yield pa.RecordBatch.from_arrays(list(map(pa.array, _links(held, distance))), ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:

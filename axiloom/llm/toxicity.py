@@ -1,8 +1,8 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels are of documents, so words are labelled first: a word of a toxic text is toxic if it stands in many different
-surroundings in toxic texts and in next to none in the others. Counting surroundings, not texts, keeps what copies of
-one text repeat from looking like evidence. A two-state CRF then learns from windows of labelled words: the word, its
+Labels are of documents, so words are labelled first: a word of a toxic text is toxic if it stands in new
+surroundings in text after toxic text and in next to none of the others. Asking for new surroundings keeps what copies
+of one text repeat, and what one long text repeats, from looking like evidence. A two-state CRF then learns from windows of labelled words: the word, its
 neighbours and its shape; and how states follow each other. Forward-backward gives each word's marginal; words over
 one half form the spans; the largest marginal, calibrated on the training texts, is the document's score.
 
@@ -14,6 +14,7 @@ Fitting uses a sample of at most about PER_CLASS texts of each class, whole text
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axiloom.llm.common import map_arrow
 from axiloom.llm.sampling import sample_by_class
 
 PER_CLASS, AROUND, LEAST_PLACES, ROUNDS = 1500, 8, 5, 120
@@ -30,6 +32,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EDGE = bytes(b for b in range(128) if not chr(b).isalnum())
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK = 128
+#: On the weights of the word, the one before and the one after: neighbours are mostly seen once, and say little.
+PENALTY = np.array([0.05, 5.0, 5.0])
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -130,13 +134,27 @@ class Tagger:
 
 
 def _toxic_words(texts: list[tuple[int, list[bytes]]]) -> set[bytes]:
-    """Words with LEAST_PLACES different surroundings in toxic texts, and 20 times more of them than in others."""
-    places = [defaultdict(set), defaultdict(set)]
+    """Words that stand in new surroundings in text after toxic text, and in next to none of the others.
+
+    A text counts once for a word, and only if it has it in surroundings that no earlier text had. A word must count so
+    often that among as many words as there are, chance would hardly bring forth one by itself.
+    """
+    seen: list[dict[bytes, set]] = [defaultdict(set), defaultdict(set)]
+    count: list[dict[bytes, int]] = [defaultdict(int), defaultdict(int)]
     for y, ws in texts:
+        own = defaultdict(set)
         for a, w, b in zip([b"", *ws[:-1]], ws, [*ws[1:], b""]):
-            if w and len(places[y][w]) < 200:
-                places[y][w].add(hash((a, b)))
-    return {w for w, s in places[1].items() if len(s) >= LEAST_PLACES and len(s) >= 20 * len(places[0].get(w, ()))}
+            own[w].add((a, b))
+        for w, s in own.items():
+            if w and not s <= seen[y][w]:
+                count[y][w] += 1
+                if len(seen[y][w]) < 1000:
+                    seen[y][w] |= s
+    bad, good = (sum(y == k for y, _ in texts) for k in (1, 0))
+    if not bad or not good:
+        return set()
+    least = max(LEAST_PLACES, math.log(20 * (len(count[1]) + 1)) / -math.log(bad / (bad + good)))
+    return {w for w, n in count[1].items() if n >= least and n * good >= 20 * bad * count[0].get(w, 0)}
 
 
 def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Tagger:
@@ -221,7 +239,7 @@ def _train(model: Tagger, windows: list[tuple[list[bytes], list[int]]]) -> None:
             joint /= joint.sum(axis=(1, 2), keepdims=True)
             expected += joint[there[:, k]].sum(axis=0)
         g = np.where(there, p - y, 0.0)
-        gw = np.stack([np.bincount(i.ravel(), g.ravel(), size) for i in (ids, before, after)]) + 0.05 * model.weights
+        gw = np.stack([np.bincount(i.ravel(), g.ravel(), size) for i in (ids, before, after)]) + PENALTY[:, None] * model.weights
         gw[1:, 0] = 0
         gw[0, 0] = 0
         gt, gb, gs = expected - seen + 0.1 * model.trans, g.sum(), g[:, 0].sum()
@@ -260,4 +278,4 @@ def score(docs: DataFrame, model: Tagger) -> DataFrame:
                 spans = [spans_of(t.decode("utf-8", "replace"), v) if len(v) and v.max() > 0 else [] for t, v in zip(texts, logits)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.score(v) for v in logits], pa.float64()), pa.array(spans, schema.types[2])], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, score double, spans array<array<int>>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), run, "doc_id long, score double, spans array<array<int>>")
