@@ -16,6 +16,7 @@ import os
 import zlib
 from collections import OrderedDict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +26,17 @@ from axiloom.llm.common import map_arrow, materialize, prefix_sums
 WINDOW = 2048
 END = 1
 #: Words whose ids a worker remembers, and the pieces of work inside a batch.
-CACHE_WORDS, ROWS = 400_000, 128
+CACHE_WORDS, ROWS = 1_200_000, 256
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _state: dict = {}
 
 
+def _ends_in_letter(word: bytes) -> bool:
+    last = word[-4:].decode("utf-8", "ignore")
+    return last[-1:].isalpha() and word.endswith(last[-1:].encode())
+
+
 def _ids_of(path: str):
     """A function from a list of texts (bytes) to a list of packed little-endian 32-bit ids.
 
@@ -41,26 +49,46 @@ def _ids_of(path: str):
 
         _state[path] = (Tokenizer.from_file(path), {})
     tokenizer, cache = _state[path]
+    (zero,) = tokenizer.encode("0", add_special_tokens=False).ids
+
+    def put(part: list[bytes], ids: np.ndarray, ends: np.ndarray, between: int) -> None:
+        if len(ends) != len(part):
+            raise ValueError("the tokenizer joins words")
+        packed, at = ids.tobytes(), 0
+        for w, end in zip(part, (4 * ends).tolist()):
+            cache[w] = packed[at:end]
+            at = end + 4 * between
+
+    def learn(missing: list[bytes]) -> None:
+        """Put words into the cache. A word that ends in ASCII punctuation after a letter or digit is cut there, where
+        the tokenizer would cut it too."""
+        cut = [(w, base) for w in missing if b"<|" not in w and len(base := w.rstrip(_MARKS)) < len(w) and base and (base[-1:].isalnum() or base[-1] > 127 and _ends_in_letter(base))]
+        whole = set(missing).difference(w for w, _ in cut)
+        whole |= {part for w, base in cut for part in (base, w[len(base) :]) if part not in cache}
+        plain = [w for w in whole if b"0" not in w and b"<|" not in w]
+        for k in range(0, len(plain), 2048):
+            # a lone 0 between words: its id comes from nothing else, as no other word here has that digit
+            part = plain[k : k + 2048]
+            ids = np.array(tokenizer.encode(b" 0 ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+            put(part, ids, np.append(np.flatnonzero(ids == zero), len(ids)), 1)
+        other = list(whole.difference(plain))
+        for k in range(0, len(other), 2048):
+            part = other[k : k + 2048]
+            got = tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
+            put(part, np.array(got.ids, "<u4"), np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))), 0)
+        for w, base in cut:
+            cache[w] = cache[base] + cache[w[len(base) :]]
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in cache})
+        # the tokenizer lower-cases; only its special strings, which are looked for before that, must stay as they are
+        split = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts]
+        new = [w for w in set().union(*split) if w not in cache]
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = list({w for ws in split for w in ws})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            got = tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, of = got.ids, got.word_ids
-            packed = memoryview(b"".join(i.to_bytes(4, "little") for i in ids))
-            first = [0] * (len(part) + 1)
-            for j in of:
-                first[j + 1] += 1
-            at = 0
-            for j, w in enumerate(part):
-                cache[w] = bytes(packed[4 * at : 4 * (at + first[j + 1])])
-                at += first[j + 1]
-        return [b"".join(map(cache.__getitem__, ws)) for ws in split]
+            new = list(set().union(*split))
+        learn(new)
+        get = cache.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
     return encode
 
