@@ -63,27 +63,50 @@ _Q_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.75
 _Q_EDGE = 0.02425
 
 
-def normal_cdf(x):
-    z = _abs(x)
-    z = _where(z > 38.0, 38.0, z)
+def _let(x, body):
+    """body(x), with a column computed once however often body uses it."""
+    return F.transform(F.array(x), body)[0] if isinstance(x, Column) else body(x)
+
+
+def _tail(z):
     density = _exp(z * z * -0.5)
     near = density * _horner(_TAIL_TOP, z) / _horner(_TAIL_LOW, z)
     far = density / (z + 1.0 / (z + 2.0 / (z + 3.0 / (z + 4.0 / (z + 0.65))))) / math.sqrt(2 * math.pi)
-    tail = _where(z < 7.07106781186547, near, far)
-    return _where(x > 0, 1.0 - tail, tail)
+    return _where(z < 7.07106781186547, near, far)
+
+
+def normal_cdf(x):
+    def signed(x):
+        z = _abs(x)
+        return _let(_let(_where(z > 38.0, 38.0, z), _tail), lambda t: _where(x > 0, 1.0 - t, t))
+
+    return _let(x, signed)
+
+
+def _quantile_guess(low):
+    q = low - 0.5
+    middle = _let(q * q, lambda r: q * _horner(_Q_A, r) / _horner(_Q_B, r))
+    outer = _let(_sqrt(_ln(low) * -2.0), lambda t: _horner(_Q_C, t) / _horner(_Q_D, t))
+    return _where(low < _Q_EDGE, outer, middle)
 
 
 def normal_ppf(p):
-    low = _where(p < 0.5, p, 1.0 - p)
-    safe = _where((low > 0) & (low < 1), low, 0.25)
-    tail = _sqrt(_ln(safe) * -2.0)
-    q = safe - 0.5
-    r = q * q
-    x = _where(safe < _Q_EDGE, _horner(_Q_C, tail) / _horner(_Q_D, tail), q * _horner(_Q_A, r) / _horner(_Q_B, r))
-    error = (normal_cdf(x) - safe) * math.sqrt(2 * math.pi) * _exp(x * x * 0.5)
-    x = x - error / (x * error * 0.5 + 1.0)
-    x = _where(low <= 0, -math.inf, x)
-    return _where(p > 0.5, x * -1.0, x)
+    """A first guess in the lower half, one step of Halley's method, and the sign of the half."""
+
+    def refined(low):
+        def step(x):
+            error = (normal_cdf(x) - low) * math.sqrt(2 * math.pi) * _exp(x * x * 0.5)
+            return _let(error, lambda e: x - e / (x * e * 0.5 + 1.0))
+
+        return _let(_quantile_guess(low), step)
+
+    def whole(p):
+        low = _where(p < 0.5, p, 1.0 - p)
+        x = _let(_where(low > 0, low, 0.25), refined)
+        x = _where(low <= 0, -math.inf, x)
+        return _let(x, lambda x: _where(p > 0.5, x * -1.0, x))
+
+    return _let(p, whole)
 
 
 class _Base:

@@ -102,6 +102,23 @@ class EvaluationResult:
             df.explain("formatted")
         return axes, df
 
+    def table(self, **named: Any) -> DataFrame:
+        """Several values side by side, by name: one projection if they share a frame, else joined on shared keys."""
+        groups: dict[Any, dict[str, Any]] = {}
+        for name, what in named.items():
+            p = self.lowering.placed[as_node(what).id]
+            groups.setdefault(None if p.literal is not None else (p.depth, p.axes), {})[name] = p
+        constants = groups.pop(None, {})
+        out: DataFrame | None = None
+        for (depth, axes), own in sorted(groups.items(), key=lambda g: (-len(g[0][1]), g[0][0])):
+            keys = [a.key for a in layout(sorted(axes))]
+            extra = [k for k in self.lowering._keys(axes) if out is None or k not in out.columns or k in keys]
+            part = self.lowering.frames[(depth, axes)].select(*extra, *[F.col(p.column).alias(c) for c, p in own.items()])
+            on = [k for k in keys if out is not None and k in out.columns]
+            out = part if out is None else out.join(part, on) if on else out.crossJoin(part)
+        out = session().range(1).select() if out is None else out
+        return out.select("*", *[p.literal.alias(c) for c, p in constants.items()])
+
     def parameter_values_for(self, index: GenericIndex) -> np.ndarray:
         for i, v in self.parameter_values.items():
             if i is index:

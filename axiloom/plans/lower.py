@@ -25,6 +25,8 @@ from axiloom.plans.expr import LEAVES, Node
 from axiloom.sources.frames import AxisTable, BoundFrame, array_table, plain, value_kind
 
 Axes = frozenset[Axis]
+#: Constants of more operations than this get a one-row frame: as a column they would grow with every use.
+MOST_NESTED = 6
 
 
 @dataclass
@@ -48,6 +50,7 @@ class Placed:
     depth: int
     column: str | None = None
     literal: Column | None = None
+    nested: int = 0  # operations in the literal, along the longest path
 
 
 def result_kind(op: str, kinds: list[str]) -> str:
@@ -142,8 +145,9 @@ class Lowering:
         else:
             raise UnsupportedNodeType(n.op)
         depth = max((a.depth + (a.literal is None and a.axes != axes) for a in used), default=0)
-        if all(a.literal is not None for a in used) and not axes and not self._python(n):
-            p = Placed(axes, kind, 0)
+        nested = 1 + max((a.nested for a in used), default=0)
+        if all(a.literal is not None for a in used) and not axes and not self._python(n) and nested <= MOST_NESTED:
+            p = Placed(axes, kind, 0, nested=nested)
             p.literal = self._expression(n, [(a.literal, a.kind) for a in args])
             return p
         return Placed(axes, kind, depth, f"n{n.id}")
@@ -220,7 +224,12 @@ class Lowering:
             parts.append((source[1], self.frames[source].select(*self._keys(source[1]), *columns)))
         for n in nodes:
             if n.id in self.binding.frames:
-                parts.append((axes, self.binding.frames[n.id][0].select(f"n{n.id}")))
+                part = self.binding.frames[n.id][0].select(f"n{n.id}")
+                for a in axes:
+                    t = self.binding.tables.get(a)
+                    if t is not None and t.weight:
+                        part = part.join(t.df.select(a.key, t.weight), a.key)
+                parts.append((axes, part))
         if depth == 0 and len(axes) == 1 and (next(iter(axes)) in self.binding.tables or self.binding.series):
             parts.insert(0, (axes, self._axis_frame(next(iter(axes)), nodes)))
         df, have = None, frozenset()
