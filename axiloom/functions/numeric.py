@@ -7,7 +7,9 @@ raises where NumPy would wrap.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,3 +194,40 @@ def over_one(kind: str, x: Typed) -> Column:
     if kind in ("mean", "median", "quantile"):
         return real(x)
     return number(x) if kind in ("sum", "prod") else x[0]
+
+
+_UFUNCS: dict[str, Callable[..., Any]] = {k: getattr(np, k) for k in ("add", "subtract", "multiply", "divide", "equal", "not_equal", "less", "less_equal", "greater", "greater_equal", "logical_and", "logical_or", "logical_xor", "maximum", "logical_not", "exp", "log")}
+_UFUNCS |= {"negate": np.negative, "power": lambda a, b: np.power(a, b) if np.asarray(b).dtype.kind == "f" or b >= 0 else type(a)(float(a) ** float(b))}
+
+
+def fold(op: str, args: list[Any], kind: str) -> Any:
+    """The value of an operation on constants, as ``kind``."""
+    with np.errstate(all="ignore"):
+        if op == "where":
+            out = args[1] if bool(args[0]) else args[2]
+        elif op in ("multi_clause_where", "exclusive_multi_clause_where"):
+            if any(not isinstance(c, (bool, np.bool_)) for c in args[:-1:2]):
+                raise TypeError("a condition must be boolean")
+            out = next((v for c, v in zip(args[:-1:2], args[1:-1:2]) if c), args[-1])
+            if kind == "str" and not isinstance(out, str):
+                return None
+        elif isinstance(args[0], str) or isinstance(args[-1], str):
+            if len(args) != 2 or not all(isinstance(a, str) for a in args) or op not in ("equal", "not_equal", "less", "less_equal", "greater", "greater_equal"):
+                raise TypeError("text in arithmetic, or compared with a number")
+            a, b = args
+            out = {"equal": a == b, "not_equal": a != b, "less": a < b, "less_equal": a <= b, "greater": a > b, "greater_equal": a >= b}[op]
+        else:
+            out = _UFUNCS[op](*args)
+    return {"bool": bool, "int": int, "float": float, "str": str}[kind](out)
+
+
+def fold_over_one(kind: str, x: Any, out: str) -> Any:
+    """A reduction of one constant."""
+    if isinstance(x, str):
+        raise TypeError("text in a reduction")
+    value = bool(x) if kind in ("any", "all", "count_nonzero") else x - x if kind in ("std", "var") else x
+    return {"bool": bool, "int": int, "float": float}[out](value)
+
+
+def literal(value: Any, kind: str) -> Column:
+    return F.lit(value).cast({"int": "bigint", "float": "double", "str": "string", "bool": "boolean"}[kind])

@@ -186,6 +186,7 @@ def _product(names: Sequence[str]) -> Column:
 
 def _as_array(axes: Sequence[Axis], df: DataFrame, full: Sequence[Axis]) -> np.ndarray:
     rows = df.collect()
+    axes = [a for a in full if a in axes]
     keys = [sorted({r[a.key] for r in rows}) for a in axes]
     where = [{k: i for i, k in enumerate(v)} for v in keys]
     values = [r["value"] for r in rows]
@@ -193,7 +194,7 @@ def _as_array(axes: Sequence[Axis], df: DataFrame, full: Sequence[Axis]) -> np.n
     out = np.empty([len(k) for k in keys], dtype=object if text else np.array(values).dtype if values else float)
     for r, v in zip(rows, values):
         out[tuple(w[r[a.key]] for a, w in zip(axes, where))] = v
-    return out.reshape([len(keys[list(axes).index(a)]) if a in axes else 1 for a in full])
+    return out.reshape([len(keys[axes.index(a)]) if a in axes else 1 for a in full])
 
 
 class Evaluation:

@@ -25,8 +25,6 @@ from axiloom.plans.expr import LEAVES, Node
 from axiloom.sources.frames import AxisTable, BoundFrame, array_table, plain, value_kind
 
 Axes = frozenset[Axis]
-#: Constants of more operations than this get a one-row frame: as a column they would grow with every use.
-MOST_NESTED = 6
 
 
 @dataclass
@@ -50,7 +48,7 @@ class Placed:
     depth: int
     column: str | None = None
     literal: Column | None = None
-    nested: int = 0  # operations in the literal, along the longest path
+    value: Any = None
 
 
 def result_kind(op: str, kinds: list[str]) -> str:
@@ -119,12 +117,12 @@ class Lowering:
             raise PlaceholderValueNotProvided(f"no value for {n.name!r}")
         value = plain(np.asarray(value)[()]) if not isinstance(value, str) else value
         kind = value_kind(np.asarray(value))
-        return Placed(frozenset(), kind, 0, literal=F.lit(value).cast({"int": "bigint", "float": "double"}[kind]) if kind in ("int", "float") else F.lit(value))
+        return Placed(frozenset(), kind, 0, literal=numeric.literal(value, kind), value=value)
 
     def _inner(self, n: Node) -> Placed:
         args = [self.placed[a.id] for a in n.args]
         if n.op == "variant_selector":
-            return Placed(args[0].axes, args[0].kind, args[0].depth, args[0].column, args[0].literal)
+            return Placed(args[0].axes, args[0].kind, args[0].depth, args[0].column, args[0].literal, args[0].value)
         used = [*args, *([self.placed[self.guards[n.id].id]] if n.id in self.guards else [])]
         axes: Axes = frozenset().union(*(a.axes for a in used))
         kinds = [a.kind for a in args]
@@ -145,11 +143,11 @@ class Lowering:
         else:
             raise UnsupportedNodeType(n.op)
         depth = max((a.depth + (a.literal is None and a.axes != axes) for a in used), default=0)
-        nested = 1 + max((a.nested for a in used), default=0)
-        if all(a.literal is not None for a in used) and not axes and not self._python(n) and nested <= MOST_NESTED:
-            p = Placed(axes, kind, 0, nested=nested)
-            p.literal = self._expression(n, [(a.literal, a.kind) for a in args])
-            return p
+        if all(a.literal is not None for a in used) and n.op != "function_call":
+            # constants are folded here and now: as columns they would grow with every use
+            values = [a.value for a in args]
+            value = numeric.fold_over_one(n.params["kind"], values[0], kind) if n.op == "reduce" else numeric.fold(n.op, values, kind)
+            return Placed(axes, kind, 0, literal=numeric.literal(value, kind), value=value)
         return Placed(axes, kind, depth, f"n{n.id}")
 
     def _function(self, n: Node) -> Function:
@@ -157,9 +155,6 @@ class Lowering:
             raise FunctionNotFound(n.name)
         return self.binding.functions[n.name]
 
-    def _python(self, n: Node) -> bool:
-        return n.op == "function_call" and self._kind(n) != "column"
-
     def _kind(self, n: Node) -> str:
         kind = self._function(n).kind
         return kind or ("series" if any(TIME in self.placed[a.id].axes for a in n.args) else "vector")
@@ -285,8 +280,6 @@ class Lowering:
             return numeric.choose([(args[0], args[1])], args[2], strict=False)
         if n.op in ("multi_clause_where", "exclusive_multi_clause_where"):
             return numeric.choose(list(zip(args[:-1:2], args[1:-1:2])), args[-1], strict=True)
-        if n.op == "reduce":
-            return numeric.over_one(n.params["kind"], args[0])
         if n.op == "function_call":
             return self._call(n, args)
         raise UnsupportedNodeType(n.op)

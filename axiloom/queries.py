@@ -623,7 +623,7 @@ def q_rows_ensemble(spark, sf):
     return r.expected_frame(out).select(_r("value").alias("value"))
 
 
-@query(f"WITH {_HOURS}, w(hour, f) AS (SELECT range::INT, 1 + range / 24.0::DOUBLE FROM range(24)) SELECT kind, round(sum(v * f), 4) AS value FROM h JOIN w USING (hour) GROUP BY kind")
+@query(f"WITH {_HOURS}, w(hour, f) AS (SELECT range::INT, 1 + range / 24.0::DOUBLE FROM range(24)) SELECT kind, round(sum(v * f), 2) AS value FROM h JOIN w USING (hour) GROUP BY kind")
 def q_series_constant(spark, sf):
     """A constant series against a series from data: joined on time."""
     s, bound = _hours(spark, sf)
@@ -632,7 +632,7 @@ def q_series_constant(spark, sf):
     f = ConstTimeseriesIndex("f", 1 + np.arange(24) / 24.0)
     out = Index("out", expr.reduce("sum", s * f, TIME))
     df = Evaluation(Scenario(_model(s, f, out))).evaluate([out], frames={s: bound}).frame(out)
-    return df.select(F.col("p_kind").alias("kind"), _r("value", 4).alias("value"))
+    return df.select(F.col("p_kind").alias("kind"), _r("value", 2).alias("value"))
 
 
 @query(f"WITH {_HOURS} SELECT kind, hour, round(sum(v) OVER (PARTITION BY kind), 4) AS total, round(v - lag(v, 1, 0) OVER (PARTITION BY kind ORDER BY hour), 4) AS step FROM h")

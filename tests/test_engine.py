@@ -117,6 +117,13 @@ def test_parameters_ensemble_and_time(spark):
         r.marginalize(i)
 
 
+def test_axes_keep_the_order_in_which_they_are_given(spark):
+    z, a = Index("z", None), Index("a", None)
+    out = Index("out", z * 10 + a)
+    r = Evaluation(Scenario(model(z, a, out))).evaluate(parameters={z: [1.0, 2.0], a: [3.0, 4.0, 5.0]}, spark=spark)
+    assert r[out].tolist() == [[13, 14, 15], [23, 24, 25]] and r.expected_value(out).shape == (2, 3)
+
+
 def test_as_many_scenarios_as_time_steps(spark):
     x, ts = DistributionIndex("x", dist.norm), TimeseriesIndex("ts", np.arange(4.0))
     y = Index("y", x + ts)
@@ -244,7 +251,7 @@ def test_growing_equals_one_evaluation(spark):
     np.testing.assert_allclose(h[o], one[o])
     np.testing.assert_allclose(h.expected_value(o), one.expected_value(o))
     with pytest.raises(NotImplementedError):
-        h.extend(3, extra_parameters={})or h.extend(3, extra_parameters={a: 1})
+        h.extend(3, extra_parameters={a: 1})
     later = submit_evaluate(e, 30, [o], seed=5, spark=spark).extend(20)
     np.testing.assert_allclose(later.get(120)[o], one[o])
     assert later.poll()
