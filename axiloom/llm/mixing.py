@@ -100,4 +100,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     copies = mix(docs)[0].groupBy("doc_id").agg(F.sum(F.expr("floor(taken / greatest(size, 1) + 0.5)")).alias("_n"), F.count("*").alias("_rows"))
     copies = copies.select(F.col("doc_id").alias("_id"), F.expr("cast(ceil(_n / _rows) as int)").alias("_n")).where("_n > 0")
     met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    return met.select(row, F.explode(F.sequence(F.lit(1), copies["_n"]))).select("_row.*")

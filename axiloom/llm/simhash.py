@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             got = [signed(fingerprint(t.as_py() or b"")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], ["doc_id", "fp"])
 
-    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id long, fp long")
 
 
 def _search(fp: np.ndarray, distance: int):
