@@ -218,6 +218,18 @@ class Evaluation:
     def evaluate(self, nodes_of_interest: Iterable[Any] | None = None, **kwargs: Any) -> EvaluationResult:
         return self.execute_plan(self.build_plan(nodes_of_interest), **kwargs)
 
+    def evaluate_incremental(self, size: int, nodes_of_interest: Iterable[Any] | None = None, **kwargs: Any) -> Any:
+        """A handle on ``size`` scenarios that extend(n) adds to; see axiloom.streaming.handles."""
+        from axiloom.streaming import handles
+
+        return handles.evaluate_incremental(self, size, nodes_of_interest, **kwargs)
+
+    def submit_evaluate(self, size: int, nodes_of_interest: Iterable[Any] | None = None, **kwargs: Any) -> Any:
+        """The same in the background."""
+        from axiloom.streaming import handles
+
+        return handles.submit_evaluate(self, size, nodes_of_interest, **kwargs)
+
     def execute_plan(
         self,
         plan: EvaluationPlan,
