@@ -1,10 +1,11 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels are of documents, so words are labelled first: a word of a toxic text is toxic if it stands in new
-surroundings in text after toxic text and in next to none of the others. Asking for new surroundings keeps what copies
-of one text repeat, and what one long text repeats, from looking like evidence. A two-state CRF then learns from windows of labelled words: the word, its
-neighbours and its shape; and how states follow each other. Forward-backward gives each word's marginal; words over
-one half form the spans; the largest marginal, calibrated on the training texts, is the document's score.
+Labels are of documents, so words are labelled first: a word of a toxic text is toxic if it, or a beginning of it,
+stands in new surroundings in text after toxic text and in next to none of the others. Asking for new surroundings
+keeps what copies of one text repeat, and what one long text repeats, from looking like evidence. A two-state CRF then
+learns from windows of labelled words: the word, its beginnings and its neighbours, and how states follow each other.
+Forward-backward gives each word's marginal. Words over one half form the spans; the largest marginal, the number of
+toxic words and their share, calibrated on texts held back, make the document's score.
 
 Defined results: texts without words (null, empty, blank) get the score of a text without evidence; without training
 rows of both classes every score is the share of toxic ones, or 0.
@@ -17,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,16 @@ from axiloom.llm.common import map_arrow
 from axiloom.llm.sampling import sample_by_class
 
 PER_CLASS, AROUND, LEAST_PLACES, ROUNDS = 1500, 8, 5, 120
+#: Every so many-th text of the sample trains no weights but calibrates the scores.
+HELD_BACK = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EDGE = bytes(b for b in range(128) if not chr(b).isalnum())
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK = 128
-#: On the weights of the word, the one before and the one after: neighbours are mostly seen once, and say little.
-PENALTY = np.array([0.05, 5.0, 5.0])
+#: On the weights of the word's units and of its neighbours: these are mostly seen once, and say little.
+PENALTY = (0.2, 5.0)
+#: Lengths of beginnings, in characters, and how many words a worker remembers the weight of.
+BEGINNINGS, MEMO = (3, 4, 5, 6, 7), 400_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -101,55 +106,110 @@ def marginal_logits(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start:
     return (alpha.ravel() + beta.ravel())[:n]
 
 
+def units(word: bytes) -> list[str]:
+    """What evidence and weights attach to: the word itself, marked by its end, and its beginnings."""
+    w = word.decode("utf-8", "replace")
+    return [w + "$", *(w[:k] for k in BEGINNINGS if len(w) > k)]
+
+
+class _Memo(dict):
+    """Weights of words, computed once for as many words as MEMO holds."""
+
+    def __init__(self, weight):
+        super().__init__()
+        self.weight = weight
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= MEMO:
+            self.clear()
+        value = self[word] = self.weight(word)
+        return value
+
+
 @dataclass
 class Tagger:
-    """words: id of each known word, 0 being unknown. weights: by feature (word, word before, word after) and id."""
+    """Weights of units of the word itself, and of the words before and after, by id (0 being unknown)."""
 
+    units: dict[str, int]
+    own: np.ndarray
     words: dict[bytes, int]
-    weights: np.ndarray
+    near: np.ndarray
     bias: float
     trans: np.ndarray
     start: float
-    slope: float = 1.0
+    slope: np.ndarray = field(default_factory=lambda: np.zeros(3))
     offset: float = 0.0
 
+    def weight(self, word: bytes) -> float:
+        return float(sum(self.own[self.units[u]] for u in units(word) if u in self.units)) if word else 0.0
+
     def logits(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         sizes = [len(w) for w in texts]
         n = sum(sizes)
         if not n:
             return [np.zeros(0)] * len(texts)
-        get = self.words.get
+        if "_memo" not in self.__dict__:
+            self.__dict__["_memo"] = _Memo(self.weight)
+        memo, get = self.__dict__["_memo"].__getitem__, self.words.get
+        own = np.fromiter((memo(w) for ws in texts for w in ws), float, n)
         ids = np.fromiter((get(w, 0) for ws in texts for w in ws), np.int64, n)
         ends = np.cumsum(sizes)
         first = np.zeros(n, bool)
         first[[e - s for e, s in zip(ends.tolist(), sizes) if s]] = True
         before = np.where(first, 0, np.concatenate(([0], ids[:-1])))
         after = np.where(np.concatenate((first[1:], [True])), 0, np.concatenate((ids[1:], [0])))
-        e = self.bias + self.weights[0, ids] + self.weights[1, before] + self.weights[2, after]
+        e = self.bias + own + self.near[0, before] + self.near[1, after]
         return np.split(marginal_logits(e, first, self.trans, self.start), ends[:-1])
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_memo"}
+
     def score(self, logits: np.ndarray) -> float:
-        top = max(-12.0, min(12.0, float(logits.max()))) if len(logits) else -12.0
-        return float(1 / (1 + np.exp(-(self.slope * top + self.offset))))
+        return float(1 / (1 + np.exp(-(evidence(logits) @ self.slope + self.offset))))
+
 
+def evidence(logits: np.ndarray) -> np.ndarray:
+    """What a document's score is made of: the largest marginal, how many words are toxic, and what share of all."""
+    if not len(logits):
+        return np.array([-12.0, 0.0, 0.0])
+    p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+    p = np.where(p < 0.05, 0.0, p)
+    return np.array([max(-12.0, min(12.0, float(logits.max()))), np.log1p(p.sum()), np.log1p(100 * p.mean())])
 
-def _toxic_words(texts: list[tuple[int, list[bytes]]]) -> set[bytes]:
-    """Words that stand in new surroundings in text after toxic text, and in next to none of the others.
 
-    A text counts once for a word, and only if it has it in surroundings that no earlier text had. A word must count so
-    often that among as many words as there are, chance would hardly bring forth one by itself.
+def _toxic_units(texts: list[tuple[int, list[bytes]]]) -> set[str]:
+    """Units that stand in new surroundings in text after toxic text, and in next to none of the others.
+
+    A text counts once for a unit, and only if it has it in surroundings that no earlier text had. A unit must count so
+    often that among as many units as there are, chance would hardly bring forth one by itself.
     """
-    seen: list[dict[bytes, set]] = [defaultdict(set), defaultdict(set)]
-    count: list[dict[bytes, int]] = [defaultdict(int), defaultdict(int)]
-    for y, ws in texts:
+    seen: list[dict[str, set]] = [defaultdict(set), defaultdict(set)]
+    count: list[dict[str, int]] = [defaultdict(int), defaultdict(int)]
+    memo: dict[bytes, list[str]] = {}
+
+    def read(y: int, ws: list[bytes], only: set[str] | None) -> None:
         own = defaultdict(set)
         for a, w, b in zip([b"", *ws[:-1]], ws, [*ws[1:], b""]):
-            own[w].add((a, b))
-        for w, s in own.items():
-            if w and not s <= seen[y][w]:
-                count[y][w] += 1
-                if len(seen[y][w]) < 1000:
-                    seen[y][w] |= s
+            if w:
+                if w not in memo:
+                    memo[w] = [u for u in units(w) if only is None or u in only]
+                for u in memo[w]:
+                    own[u].add(hash((a, b)))
+        for u, s in own.items():
+            if not s <= seen[y][u]:
+                count[y][u] += 1
+                if len(seen[y][u]) < 1000:
+                    seen[y][u] |= s
+
+    for y, ws in texts:
+        if y:
+            read(1, ws, None)
+    memo.clear()
+    # of the others, only what could still be evidence is looked at
+    hopeful = {u for u, n in count[1].items() if n >= LEAST_PLACES}
+    for y, ws in texts:
+        if not y:
+            read(0, ws, hopeful)
     bad, good = (sum(y == k for y, _ in texts) for k in (1, 0))
     if not bad or not good:
         return set()
@@ -173,53 +233,71 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Tagger
 
 
 def _fit(texts: list[tuple[int, list[bytes]]]) -> Tagger:
-    bad = _toxic_words(texts)
+    bad = _toxic_units(texts)
+    toxic: dict[bytes, bool] = {}
+
+    def is_toxic(w: bytes) -> bool:
+        if w not in toxic:
+            toxic[w] = bool(w) and any(u in bad for u in units(w))
+        return toxic[w]
+
     windows: list[tuple[list[bytes], list[int]]] = []
     for k, (y, ws) in enumerate(texts):
-        marks = [int(y and w in bad) for w in ws]
+        if k % HELD_BACK == 0 and len(texts) > 40:
+            continue
+        marks = [int(y and is_toxic(w)) for w in ws]
         hits = [i for i, m in enumerate(marks) if m]
         for i in hits[:6]:
             windows.append((ws[max(0, i - AROUND) : i + AROUND + 1], marks[max(0, i - AROUND) : i + AROUND + 1]))
-        if not y and ws:  # a stretch of a clean text, at a place that follows from its number
-            i = (k * 7919) % len(ws)
-            windows.append((ws[i : i + 2 * AROUND + 1], marks[i : i + 2 * AROUND + 1]))
-    vocabulary = {w: i for i, w in enumerate(sorted({w for ws, _ in windows for w in ws}), 1)}
-    model = Tagger(vocabulary, np.zeros((3, len(vocabulary) + 1)), -4.0, np.zeros((2, 2)), 0.0)
+        if not y and ws:
+            # a stretch of a clean text, at a place that follows from its number, and those that look toxic
+            for i in [(k * 7919) % len(ws), *[i for i, w in enumerate(ws) if is_toxic(w)][:3]]:
+                windows.append((ws[max(0, i - AROUND) : i + AROUND + 1], marks[max(0, i - AROUND) : i + AROUND + 1]))
+    vocabulary = sorted({w for ws, _ in windows for w in ws})
+    known = {u: i for i, u in enumerate(sorted({u for w in vocabulary if w for u in units(w)}), 1)}
+    words = {w: i for i, w in enumerate(vocabulary, 1)}
+    model = Tagger(known, np.zeros(len(known) + 1), words, np.zeros((2, len(words) + 1)), -4.0, np.zeros((2, 2)), 0.0)
     if windows and bad:
         _train(model, windows)
     share = sum(y for y, _ in texts) / max(1, len(texts))
     if not bad or not 0 < share < 1:
-        model.slope, model.offset = 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+        model.offset = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
         return model
+    held = [t for k, t in enumerate(texts) if k % HELD_BACK == 0]
     logits = []
-    for k in range(0, len(texts), 64):
-        logits += model.logits([ws for _, ws in texts[k : k + 64]])
-    x = np.array([max(-12.0, min(12.0, float(v.max()))) if len(v) else -12.0 for v in logits])
-    y = np.array([y for y, _ in texts])
-    a, b = 0.5, 0.0
-    for _ in range(2000):
-        p = 1 / (1 + np.exp(-(a * x + b)))
-        a, b = a - 0.02 * ((p - y) * x).mean(), b - 0.05 * (p - y).mean()
-    model.slope, model.offset = float(max(a, 0.01)), float(b)
+    for k in range(0, len(held), 64):
+        logits += model.logits([ws for _, ws in held[k : k + 64]])
+    x, y = np.array([evidence(v) for v in logits]), np.array([y for y, _ in held])
+    if not 0 < y.sum() < len(y):
+        model.slope, model.offset = np.array([1.0, 0.0, 0.0]), 0.0
+        return model
+    mean, width = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z, a, b = (x - mean) / width, np.zeros(3), 0.0
+    for _ in range(3000):
+        g = 1 / (1 + np.exp(-(z @ a + b))) - y
+        a, b = np.maximum(0.0, a - 0.3 * (z.T @ g / len(y) + 1e-3 * a)), b - 0.3 * g.mean()
+    model.slope, model.offset = a / width, float(b - (a * mean / width).sum())
     return model
 
 
 def _train(model: Tagger, windows: list[tuple[list[bytes], list[int]]]) -> None:
     """Adagrad on the conditional log likelihood of the windows, with an L2 penalty; gradients by forward-backward."""
-    n = 2 * AROUND + 1
-    ids = np.zeros((len(windows), n), np.int64)
+    n, wide = 2 * AROUND + 1, 1 + len(BEGINNINGS)
+    ids, parts = np.zeros((len(windows), n), np.int64), np.zeros((len(windows), n, wide), np.int64)
     y, there = np.zeros(ids.shape), np.zeros(ids.shape, bool)
+    of = {w: [model.units[u] for u in units(w)] if w else [] for w in model.words}
     for k, (ws, marks) in enumerate(windows):
         ids[k, : len(ws)], y[k, : len(ws)], there[k, : len(ws)] = [model.words[w] for w in ws], marks, True
+        for j, w in enumerate(ws):
+            parts[k, j, : len(of[w])] = of[w]
     before = np.concatenate((np.zeros((len(ids), 1), int), ids[:, :-1]), axis=1)
     after = np.concatenate((ids[:, 1:], np.zeros((len(ids), 1), int)), axis=1)
-    size = model.weights.shape[1]
-    sq_w, sq_t, sq_b, sq_s = np.full(model.weights.shape, 1e-6), np.full((2, 2), 1e-6), 1e-6, 1e-6
+    sq_o, sq_n, sq_t, sq_b, sq_s = np.full(model.own.shape, 1e-6), np.full(model.near.shape, 1e-6), np.full((2, 2), 1e-6), 1e-6, 1e-6
     pair = there[:, 1:]
     y0, y1 = y[:, :-1][pair], y[:, 1:][pair]
     seen = np.array([[((1 - y0) * (1 - y1)).sum(), ((1 - y0) * y1).sum()], [(y0 * (1 - y1)).sum(), (y0 * y1).sum()]])
     for _ in range(ROUNDS):
-        e = np.where(there, model.bias + model.weights[0, ids] + model.weights[1, before] + model.weights[2, after], 0.0)
+        e = np.where(there, model.bias + model.own[parts].sum(axis=2) + model.near[0, before] + model.near[1, after], 0.0)
         x = np.exp(np.clip(e, -30, 30))
         t = np.exp(model.trans)
         alpha, beta, scale = np.empty((n, len(ids), 2)), np.ones((n, len(ids), 2)), np.empty((n, len(ids), 1))
@@ -239,12 +317,13 @@ def _train(model: Tagger, windows: list[tuple[list[bytes], list[int]]]) -> None:
             joint /= joint.sum(axis=(1, 2), keepdims=True)
             expected += joint[there[:, k]].sum(axis=0)
         g = np.where(there, p - y, 0.0)
-        gw = np.stack([np.bincount(i.ravel(), g.ravel(), size) for i in (ids, before, after)]) + PENALTY[:, None] * model.weights
-        gw[1:, 0] = 0
-        gw[0, 0] = 0
+        go = np.bincount(parts.ravel(), np.repeat(g.ravel(), wide), len(model.own)) + PENALTY[0] * model.own
+        gn = np.stack([np.bincount(i.ravel(), g.ravel(), model.near.shape[1]) for i in (before, after)]) + PENALTY[1] * model.near
+        go[0], gn[:, 0] = 0, 0
         gt, gb, gs = expected - seen + 0.1 * model.trans, g.sum(), g[:, 0].sum()
-        sq_w, sq_t, sq_b, sq_s = sq_w + gw**2, sq_t + gt**2, sq_b + gb**2, sq_s + gs**2
-        model.weights -= 0.5 * gw / np.sqrt(sq_w)
+        sq_o, sq_n, sq_t, sq_b, sq_s = sq_o + go**2, sq_n + gn**2, sq_t + gt**2, sq_b + gb**2, sq_s + gs**2
+        model.own -= 0.5 * go / np.sqrt(sq_o)
+        model.near -= 0.5 * gn / np.sqrt(sq_n)
         model.trans = model.trans - 0.2 * gt / np.sqrt(sq_t)
         model.bias -= 0.2 * gb / np.sqrt(sq_b)
         model.start -= 0.2 * gs / np.sqrt(sq_s)
