@@ -124,7 +124,11 @@ def learn(stats: DataFrame, labels: DataFrame, least_precision: float = 0.95, le
     for q, at in levels.items():
         got = rows.where(F.col("quality") == q).agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES]).first()
         for f in FEATURES:
-            cuts[f] |= {float(f"{x:.3g}") for x in got[f] or []}
+            cuts[f] |= set(got[f] or [])
+    # cut half way between neighbouring levels, for a margin on either side
+    for f in FEATURES:
+        levels_ = sorted(cuts[f])
+        cuts[f] = {float(f"{(a + b) / 2:.3g}") for a, b in zip(levels_, levels_[1:])}
     names = list(FEATURES)
     bins = [sum((F.col(f) > t).cast("int") for t in sorted(cuts[f])) if cuts[f] else F.lit(0) for f in names]
     part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
