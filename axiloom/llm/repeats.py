@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axiloom.llm.common import map_arrow, materialize
+from axiloom.llm.common import map_arrow, materialize, release
 
 LENGTH, GRAM = 200, 100
 #: Texts are hashed in pieces of so many bytes, which overlap.
@@ -271,27 +271,14 @@ def _repeated_grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
             arrays = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["gram", "did", "place"])
 
-    def twice(batches):
-        """Rows whose gram is that of a neighbour. The last row of a batch waits for the next one."""
-        last, told = None, False
-        for b in batches:
-            g, d, p = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            if not len(g):
-                continue
-            if last is not None:
-                g, d, p = (np.concatenate(([x], y)) for x, y in zip(last, (g, d, p)))
-            same = g[1:] == g[:-1]
-            keep = np.concatenate(([told], same))
-            keep[:-1] |= same
-            last, told = (g[-1], d[-1], p[-1]), bool(keep[-1])
-            keep[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(p[keep].astype(np.int32))], ["did", "place"])
-        if told:
-            yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int32())], ["did", "place"])
-
-    found = map_arrow(texts.select("did", "body"), find, "gram long, did long, place int")
-    met = map_arrow(found.repartition("gram").sortWithinPartitions("gram"), twice, "did long, place int")
-    return met.groupBy("did").agg(F.collect_set("place").alias("places"))
+    found = materialize(map_arrow(texts.select("did", "body"), find, "gram long, did long, place int"), "anchors")
+    # counted before the shuffle, so that a gram of a third of all anchors is one row per task; those anchors then meet
+    # their gram in a join that adaptive execution splits
+    often = found.groupBy("gram").count().where("count > 1").select("gram")
+    met = found.join(often.hint("merge"), "gram", "left_semi")
+    places = materialize(met.groupBy("did").agg(F.collect_set("place").alias("places")), "places")
+    release(found)
+    return places
 
 
 def _runs(texts: DataFrame, places: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
@@ -304,7 +291,7 @@ def _runs(texts: DataFrame, places: DataFrame, buckets: int, length: int, gram:
         for entry in held.values():
             split.setdefault(zlib.crc32(entry[0][:gram]) % buckets, []).append(entry)
         for bucket, run in split.items():
-            yield bucket, front_code(sorted(run)), None, None, None, None
+            yield bucket, zlib.compress(front_code(sorted(run)), 1), None, None, None, None
         held.clear()
 
     def rows(batches):
@@ -355,7 +342,7 @@ def _merged_spans(runs: DataFrame, length: int, gram: int) -> DataFrame:
         yield held
 
     def spans(runs: list[bytes]):
-        for block in blocks(collapsed(merge([decode(r) for r in runs]))):
+        for block in blocks(collapsed(merge([decode(zlib.decompress(r)) for r in runs]))):
             for right, left, most, least in repeated_spans(block, length, gram):
                 yield context_key(right, left), most, least
 
@@ -392,9 +379,10 @@ def repeated_spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
     texts = texts.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("body").alias("h"), "body")
     long = texts.where(F.octet_length("body") >= length)
-    places = materialize(_repeated_grams(long, length, gram), "places")
+    places = _repeated_grams(long, length, gram)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = materialize(_runs(long, places, buckets, length, gram), "runs")
+    release(places)
     spans = materialize(_merged_spans(both.where("run is not null").select("bucket", "run"), length, gram), "spans")
     met = both.where("run is null").select("did", "h", "place", "context").join(spans.hint("merge"), "context")
     span = F.struct((F.col("place") - F.col("most")).alias("a"), (F.col("place") - F.col("least") + length).alias("b"))
