@@ -274,10 +274,11 @@ def _repeated_grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
     found = materialize(map_arrow(texts.select("did", "body"), find, "gram long, did long, place int"), "anchors")
     # counted before the shuffle, so that a gram of a third of all anchors is one row per task; those anchors then meet
     # their gram in a join that adaptive execution splits
-    often = found.groupBy("gram").count().where("count > 1").select("gram")
+    often = materialize(found.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     met = found.join(often.hint("merge"), "gram", "left_semi")
     places = materialize(met.groupBy("did").agg(F.collect_set("place").alias("places")), "places")
     release(found)
+    release(often)
     return places
 
 
