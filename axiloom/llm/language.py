@@ -8,7 +8,8 @@ language were is marked as rejected.
 Defined results: a null text or one without a letter is ``und`` with score 0; without training rows so is every text;
 ties go to the language first in code-point order.
 
-Fitting uses a sample of at most about PER_LANGUAGE labelled texts of each language, whole texts each.
+Fitting uses a sample of at most about PER_LANGUAGE labelled texts of each language and MOST_TEXTS of all, whole texts
+each.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from axiloom.llm.common import map_arrow
 from axiloom.llm.sampling import sample_by_class
 
-BITS, PER_LANGUAGE, CENTROIDS, SHARPNESS = 14, 300, 3, 25.0
+BITS, PER_LANGUAGE, MOST_TEXTS, CENTROIDS, SHARPNESS = 14, 300, 6000, 3, 25.0
 UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
 
@@ -87,29 +88,30 @@ def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Centroids:
+def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, most: int = MOST_TEXTS) -> Centroids:
     """Fit on the rows (doc_id, text, lang) whose lang and text are not null, or a sample of them."""
-    chosen = sample_by_class(rows.where("lang is not null and text is not null").select("doc_id", "lang", "text"), "lang", F.col("doc_id"), per_language)
+    rows = rows.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    chosen = sample_by_class(rows, "lang", F.col("doc_id"), per_language, most)
 
     def vectors(batches):
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if (found := ngram_counts(text.as_py())) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([found[0].astype(np.int32)]), pa.array([found[1].astype(np.int32)])], ["lang", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([found[0].astype("<i4").tobytes()]), pa.array([found[1].astype("<i4").tobytes()])], ["lang", "at", "n"])
 
-    got = map_arrow(chosen.select("lang", "text"), vectors, "lang string, at array<int>, n array<int>").collect()
+    got = map_arrow(chosen.select("lang", "text"), vectors, "lang string, at binary, n binary").collect()
     languages = sorted({r["lang"] for r in got}, key=lambda s: s.encode())
     df = np.zeros(1 << BITS)
     for r in got:
-        df[r["at"]] += 1
+        df[np.frombuffer(r["at"], "<i4")] += 1
     idf = np.log((1 + len(got)) / (1 + df)) + 1
     of, parts, floor = [], [], []
     for k, lang in enumerate(languages):
-        own = sorted((tuple(r["at"]), tuple(r["n"])) for r in got if r["lang"] == lang)
+        own = sorted((bytes(r["at"]), bytes(r["n"])) for r in got if r["lang"] == lang)
         x = np.zeros((len(own), 1 << BITS), np.float32)
         for i, (at, n) in enumerate(own):
-            at = list(at)
-            x[i, at] = (1 + np.log(n)) * idf[at]
+            at = np.frombuffer(at, "<i4")
+            x[i, at] = (1 + np.log(np.frombuffer(n, "<i4"))) * idf[at]
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         c = _clustered(x, centroids)
         parts.append(c)
