@@ -187,33 +187,35 @@ def _toxic_units(texts: list[tuple[int, list[bytes]]]) -> set[str]:
     count: list[dict[str, int]] = [defaultdict(int), defaultdict(int)]
     memo: dict[bytes, list[str]] = {}
 
-    def read(y: int, ws: list[bytes], only: set[str] | None) -> None:
+    def read(y: int, ws: list[bytes], only: set[str]) -> None:
         own = defaultdict(set)
         for a, w, b in zip([b"", *ws[:-1]], ws, [*ws[1:], b""]):
             if w:
                 if w not in memo:
-                    memo[w] = [u for u in units(w) if only is None or u in only]
+                    memo[w] = [u for u in units(w) if u in only]
                 for u in memo[w]:
                     own[u].add(hash((a, b)))
         for u, s in own.items():
             if not s <= seen[y][u]:
                 count[y][u] += 1
-                if len(seen[y][u]) < 1000:
+                if len(seen[y][u]) < 200:
                     seen[y][u] |= s
 
+    # only units of several toxic texts can be evidence; surroundings are kept of those alone
+    texts_with: dict[str, int] = defaultdict(int)
     for y, ws in texts:
         if y:
-            read(1, ws, None)
-    memo.clear()
-    # of the others, only what could still be evidence is looked at
-    hopeful = {u for u, n in count[1].items() if n >= LEAST_PLACES}
+            for u in {u for w in set(ws) if w for u in units(w)}:
+                texts_with[u] += 1
+    hopeful = {u for u, n in texts_with.items() if n >= LEAST_PLACES}
+    vast = len(texts_with)
+    del texts_with
     for y, ws in texts:
-        if not y:
-            read(0, ws, hopeful)
+        read(y, ws, hopeful)
     bad, good = (sum(y == k for y, _ in texts) for k in (1, 0))
     if not bad or not good:
         return set()
-    least = max(LEAST_PLACES, math.log(20 * (len(count[1]) + 1)) / -math.log(bad / (bad + good)))
+    least = max(LEAST_PLACES, math.log(20 * (vast + 1)) / -math.log(bad / (bad + good)))
     return {w for w, n in count[1].items() if n >= least and n * good >= 20 * bad * count[0].get(w, 0)}
 
 
