@@ -95,10 +95,14 @@ class EvaluationResult:
         if n.id not in self.lowering.placed:
             raise NodeValueNotFound(getattr(what, "name", "") or f"n{n.id}")
         axes, df = self.lowering.frame(n)
+        flags = os.environ.get("AXILOOM_FLAGS", "").split(",")
+        if "trace" in flags:
+            for m in self.lowering.order:
+                print(repr(m), "axes", sorted(a.name for a in self.lowering.placed[m.id].axes))
         if "trace" in n.flags:
             print(repr(n), "axes", [a.name for a in axes])
             df.show(10)
-        if "dump" in os.environ.get("AXILOOM_FLAGS", "").split(","):
+        if "dump" in flags:
             df.explain("formatted")
         return axes, df
 
