@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from axiloom.llm.common import map_arrow
 
 MOST_DEPTH = 200
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas audio video datalist select option textarea".split())
 #: Blocks set off by a blank line, and blocks that only begin a new line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure article section fieldset form".split())
@@ -33,6 +33,16 @@ IMPLIED = {
     "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "thead": {"tr", "td", "th", "tbody", "thead", "tfoot"},
     "tbody": {"tr", "td", "th", "tbody", "thead", "tfoot"}, "tfoot": {"tr", "td", "th", "tbody", "thead", "tfoot"}, "body": {"head"},
 }
+#: All that may stand in a head; any other tag, or text, ends it.
+METADATA = frozenset("title meta link script style base noscript template noframes basefont bgsound".split())
+#: What each part of a table stands in, from the table down. A part ends all else in its table and implies what it lacks.
+_SECTION = frozenset(("thead", "tbody", "tfoot"))
+PLACES = {
+    "td": (_SECTION, frozenset(("tr",))), "th": (_SECTION, frozenset(("tr",))), "tr": (_SECTION,),
+    "thead": (), "tbody": (), "tfoot": (), "caption": (), "colgroup": (),
+}
+#: Elements whose tags are not the page's own; a table part inside stays there.
+_APART = frozenset("template noscript iframe svg math".split())
 _FENCE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
@@ -64,15 +74,35 @@ class TreeBuilder(HTMLParser):
                 del self.open[k:]
                 return self._end(tags, fence)
 
+    def _in_table(self, tag: str) -> bool:
+        """Close and open what puts the table part ``tag`` in its place; false outside a table."""
+        k = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == "table" or self.open[k].tag in _APART), 0)
+        if self.open[k].tag != "table":
+            return False
+        for parents in PLACES[tag]:
+            if k + 1 < len(self.open) and self.open[k + 1].tag in parents:
+                k += 1
+                continue
+            del self.open[k + 1 :]
+            node = Node("tr" if "tr" in parents else "tbody", {})
+            self.open[k].children.append(node)
+            self.open.append(node)
+            k += 1
+        del self.open[k + 1 :]
+        return True
+
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
-        if tag in IMPLIED:
+        top = self.open[-1].tag
+        if top == "head" and tag not in METADATA or top == "colgroup" and tag not in ("col", "template"):
+            self.open.pop()
+        if tag in PLACES and self._in_table(tag):
+            pass
+        elif tag in IMPLIED:
             self._end(IMPLIED[tag], _FENCE.get(tag, {"table"}))
         if tag in BLOCKS and tag not in ("td", "th"):
             self._end({"p"}, {"table", "td", "th", "li", "button", "object"})
-            if self.open[-1].tag == "head":
-                self.open.pop()
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < MOST_DEPTH:
@@ -88,10 +118,12 @@ class TreeBuilder(HTMLParser):
             if self.open[k].tag == tag:
                 del self.open[k:]
                 return
-            if self.open[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+            if self.open[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", *_APART):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag in ("head", "colgroup") and data.strip(" \t\n\r\f"):
+            self.open.pop()
         self.open[-1].children.append(data)
 
 

@@ -135,6 +135,26 @@ def test_html(html):
     assert html_text.render(html) == PAGES[html]
 
 
+IMPLIED = {
+    "<table><td>a<td>b</table>c": "a  b\n\nc",
+    "<table><tr><td>a</tr><td>b<tr><th>c</table>": "a\nb\nc",
+    "<table><thead><th>h<tbody><td>x</td><td>y</tbody></table>": "h\nx  y",
+    "<table><colgroup><col><tr><td>a<td>b</table>": "a  b",
+    "<table><caption>C<td>a</table>": "C\na",
+    "<table><form><td>a<b>b<td>c<table><td>d</table>e</table>": "ab  c d e",
+    "<table><tr><noscript><td>no</noscript><td>yes</table>": "yes",
+    "<head><title>T</title>Hello <a>x</a></head> y": "Hello x y",
+    "<head><title>T</title><b>Hello<p>World": "Hello\n\nWorld",
+    "<head>\n<meta charset=utf-8><script>no()</script><style>no</style>\n<noscript><img>no</noscript><img>see": "see",
+    "<head><bgsound src=x><a href=y>see</a><body>more": "see\nmore",
+}
+
+
+@pytest.mark.parametrize("html", list(IMPLIED))
+def test_html_implied_rows_and_end_of_head(html):
+    assert html_text.render(html) == IMPLIED[html]
+
+
 def test_html_survives_anything(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert html_text.render(deep) == "x"
