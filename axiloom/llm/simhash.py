@@ -12,7 +12,8 @@ are checked exactly. Small cells are compared pair by pair; in large ones a sear
 links whole groups and gives one link per member, so that a group of near copies never becomes all of its pairs.
 
 Defined results: a text without words (null, empty, blank) has fingerprint 0 and links like any other; equal
-fingerprints are one node, whatever the number of rows; rows that repeat a doc_id get one result each.
+fingerprints are one node, whatever the number of rows and their doc_id; rows that repeat a doc_id get one result each;
+rows with a null doc_id link like any other, and component_id is null only where no row of a component has a doc_id.
 """
 
 from __future__ import annotations
@@ -63,15 +64,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row; fp as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, fp) of each row; fp as a signed long. Another ``key`` (long) comes in front of them."""
+    columns = list(dict.fromkeys((key, "doc_id")))
 
     def run(batches):
         for b in batches:
-            got = [signed(fingerprint(t.as_py() or b"")) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], ["doc_id", "fp"])
+            got = [signed(fingerprint(t.as_py() or b"")) for t in b.column(len(columns))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.int64())], [*columns, "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id long, fp long")
+    given = docs.select(*[F.col(c).cast("long").alias(c) for c in columns], F.col("text").cast("binary").alias("text"))
+    return map_arrow(given, run, ", ".join(f"{c} long" for c in (*columns, "fp")))
 
 
 def _search(fp: np.ndarray, distance: int):
@@ -154,14 +157,21 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long")
 
 
+def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """fp, root, component_id of each distinct fingerprint in prints (doc_id, fp). Fingerprints themselves are the
+    nodes: root is the least one of the component, component_id the least doc_id."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    roots = connected_components(links(nodes.select("fp", F.col("fp").alias("rep")), distance))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = materialize(named, "roots")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return materialize(named.join(least.hint("merge"), "root").select("fp", "root", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable) for each row of docs (doc_id, text)."""
     prints = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    roots = connected_components(links(nodes.where("rep is not null"), distance))
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    named = materialize(named, "components")
-    return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(components(prints, distance).hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -74,6 +74,15 @@ def test_simhash(spark, make, corpus):
     assert simhash.near_duplicates(make([])).count() == 0
 
 
+def test_null_ids_link_fingerprints(spark, monkeypatch):
+    """A chain that passes through rows with a null doc_id, copies among them, and a group without any doc_id."""
+    chain = [0, 0b111, 0b111111, 0xF00FF00F0000, 0xF00FF00F0000, 0xF00FF00F0001]
+    prints = spark.createDataFrame(list(zip([1, None, 2, None, None, None], chain)), "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    rows = simhash.near_duplicates(prints).collect()
+    assert sorted(((r["fp"], r["component_id"]) for r in rows)) == [(f, 1 if k < 3 else None) for k, f in enumerate(chain)]
+
+
 @pytest.mark.parametrize("flips", [3, 4, 5])
 def test_links_of_dense_and_random_fingerprints(spark, flips):
     """A large group of fingerprints around one, pairs at just the distance, and many that are alone."""
