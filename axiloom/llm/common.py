@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 #: The white space that separates words, and its complement.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The column that with_row_key() adds.
+ROW = "_axiloom_row"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: dict[str, str] = {}
@@ -55,6 +57,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of its own for each row in ROW. It is written, so that every reading finds the same numbers."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing will read again."""
     jvm = df.sparkSession._jvm

@@ -13,11 +13,12 @@ point to the row that stayed then, with the group size of the batch that brought
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axiloom.llm.common import fresh_path, lower_az, materialize
+from axiloom.llm.common import ROW, fresh_path, lower_az, materialize, with_row_key
 
 
 def text_digest(text: Column) -> Column:
@@ -49,23 +50,26 @@ class DigestIndex:
         return self.spark.read.schema(self.spark.table(self.name).schema).parquet(self.path)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "first") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "first", carry: Sequence[str] = ()) -> DataFrame:
     """Deduplicate the batch ``docs`` against itself and the index, and append what is new.
 
-    Returns doc_id, keep_id, group_size, kept, text_sha256 for each row. Only digests move: texts are read once, where
+    Returns doc_id, keep_id, group_size, kept, text_sha256 and the columns ``carry`` for each row. Only digests move: texts are read once, where
     they lie. The groups are aggregated before the shuffle; rows meet their verdict in a join of two shuffled sides,
     which adaptive execution splits where a group of copies is large.
     """
     spark = docs.sparkSession
     index = index or DigestIndex(spark, fresh_path(spark, "digest-index"))
-    digests = materialize(docs.select("doc_id", text_digest(F.col("text")).alias("digest")), "digests")
+    digests = materialize(docs.select("doc_id", *carry, text_digest(F.col("text")).alias("digest")), "digests")
     index.append(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), batch)
     found = digests.join(index.entries().hint("merge"), "digest")
     kept = (F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"), *carry)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that exact_dedup() keeps, all columns as they are."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One document of each group of equal texts, all columns as they are: of the rows that exact_dedup() keeps, which
+    differ in neither doc_id nor text, one. Rows are told apart by a key, as a doc_id may be null or repeated."""
+    rows = with_row_key(docs, "exact-rows")
+    found = exact_dedup(rows, carry=[ROW])
+    stay = found.where("kept").groupBy("text_sha256").agg(F.min(ROW).alias(ROW)).select(ROW)
+    return rows.join(stay.hint("merge"), ROW, "left_semi").select(*docs.columns)

@@ -11,11 +11,13 @@ rows that repeat a doc_id count and are taken like any other; without words ever
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from axiloom.llm.common import materialize, prefix_sums, words
+from axiloom.llm.common import ROW, materialize, prefix_sums, with_row_key, words
 
 WEIGHTS = (5, 2, 1)
 SLOT_BITS = 16
@@ -66,14 +68,14 @@ def schedule(src: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
     return s.select("sid", "source", "slot", "rank", "block", "epoch", F.least(length, left).alias("take"), "block_words")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, bits: int = SLOT_BITS, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Returns (documents, stream).
 
-    documents: doc_id, size, source, source_size, target, taken for each row of docs. stream: what each slot takes, as
+    documents: doc_id, size, source, source_size, target, taken and the columns ``carry`` for each row of docs. stream: what each slot takes, as
     slot, epoch, source, doc_id, start, length in words, in the order (slot, start in block).
     """
     size = F.size(words(F.col("text"))).cast("long")
-    sizes = materialize(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    sizes = materialize(docs.select("doc_id", "source", size.alias("size"), *carry), "sizes")
     src = materialize(targets(sizes, weights, share, most).coalesce(1), "sources")
     slots = materialize(schedule(src, bits), "slots")
     named = sizes.join(src, sizes["source"].eqNullSafe(src["source"])).drop(src["source"])
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     stream = met.withColumn("length", got).where("length > 0").select("slot", "epoch", "source", "doc_id", (F.col("from") - F.col("start_at")).alias("start"), "length", "at", "sid", "start_at")
     taken = stream.groupBy("sid", "start_at").agg(F.sum("length").alias("taken"))
     some = placed.where("size > 0").join(taken, ["sid", "start_at"], "left")
-    columns = ["doc_id", "size", "source", "source_size", "target"]
+    columns = ["doc_id", "size", "source", "source_size", "target", *carry]
     documents = some.select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     none = named.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
     return documents.unionByName(none), stream.drop("sid", "start_at")
@@ -97,8 +99,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as the mix uses them: as many rows of each as it takes the whole text, a part of half a text or
     more counting as whole. Since a source is used in one stretch, at most one document of each is taken in part."""
-    copies = mix(docs)[0].groupBy("doc_id").agg(F.sum(F.expr("floor(taken / greatest(size, 1) + 0.5)")).alias("_n"), F.count("*").alias("_rows"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.expr("cast(ceil(_n / _rows) as int)").alias("_n")).where("_n > 0")
-    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    return met.select(row, F.explode(F.sequence(F.lit(1), copies["_n"]))).select("_row.*")
+    rows = with_row_key(docs, "mixing-rows")  # a doc_id may be null or repeated
+    times = F.expr("cast(floor(taken / greatest(size, 1) + 0.5) as int)")
+    copies = mix(rows, carry=[ROW])[0].select(ROW, times.alias("_times")).where("_times > 0")
+    met = rows.join(copies.hint("merge"), ROW)
+    row = F.struct(*[rows[c] for c in docs.columns]).alias("_row")
+    return met.select(row, F.explode(F.sequence(F.lit(1), copies["_times"]))).select("_row.*")

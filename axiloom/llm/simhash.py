@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axiloom.llm.common import map_arrow, materialize
+from axiloom.llm.common import ROW, map_arrow, materialize, with_row_key
 from axiloom.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -175,6 +175,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component: one of each group of near copies."""
-    found = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_gone"]), "left_anti")
+    """One document of each group of near copies: one whose doc_id names its component, if any has a doc_id. Rows are
+    told apart by a key, as a doc_id may be null or repeated."""
+    rows = with_row_key(docs, "near-rows")
+    prints = materialize(fingerprints(rows, ROW), "fingerprints")
+    found = prints.join(components(prints).hint("merge"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+    stay = found.groupBy("root").agg(first.alias("first")).select(F.col("first")[ROW].alias(ROW))
+    return rows.join(stay.hint("merge"), ROW, "left_semi").select(*docs.columns)

@@ -29,6 +29,19 @@ def test_exact_dedup(spark, make, corpus):
     assert exact_dedup.exact_dedup(make([])).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids_are_dropped_one_by_one(spark, make):
+    far = [" ".join(f"{w}{k}" for k in range(40)) for w in ("ab", "cd", "ef", "gh")]
+    cases = [
+        ([(None, far[0]), (None, far[1]), (3, far[1])], {(None, far[0]): 1, (3, far[1]): 1}, None),
+        ([(5, far[0]), (5, far[1]), (9, far[1])], {(5, far[0]): 1, (9, far[1]): 1}, {(5, far[0]): 1, (5, far[1]): 1}),
+        ([(7, far[2])] * 3 + [(None, far[3])] * 2, {(7, far[2]): 1, (None, far[3]): 1}, None),
+    ]
+    for rows, exact, near in cases:
+        docs = make([t for _, t in rows], ids=[k for k, _ in rows])
+        assert Counter((r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(docs).collect()) == exact
+        assert Counter((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect()) == (near or exact)
+
+
 def test_index_remembers_batches(spark, make):
     index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index"), buckets=3)
     exact_dedup.exact_dedup(make(["a", "b", "B"]), index, "one").collect()

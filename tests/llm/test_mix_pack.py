@@ -78,6 +78,18 @@ def test_mixed_documents_and_odd_tables(spark, make, corpus):
     assert mixing.mix(make(["a b", "a b"], ids=[1, 1]))[0].count() == 2
 
 
+def test_mixed_rows_that_share_an_id_are_taken_one_by_one(spark, make):
+    """Source b is to come 1.4 times: its rows, all with a null or the same doc_id, can't all come twice."""
+    texts = [f"w{k} " * 20 for k in range(60)]
+    for doc in (None, 4):
+        docs = make(texts, ["b"] * 50 + ["a"] * 10, ids=[doc] * 60)
+        found = mixing.mix(docs)[0].collect()
+        want = {s: sum(r["taken"] for r in found if r["source"] == s) / 20 for s in "ab"}
+        out = mixing.mixed_documents(docs).collect()
+        for s in "ab":
+            assert abs(sum(r["source"] == s for r in out) - want[s]) <= 1
+
+
 def pieces_of(text):
     ids = [*Tokenizer.from_file(VOCABULARY).encode(text or "", add_special_tokens=False).ids, 1]
     return [(k, ids[k : k + 2048], len(ids)) for k in range(0, len(ids), 2048)]
