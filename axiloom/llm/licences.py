@@ -25,6 +25,8 @@ from axiloom.llm.common import map_arrow
 
 UNKNOWN = "unknown"
 LEAST_PROBABILITY, LEAST_SHARED = 0.5, 0.6
+#: Words scored in one go, in whole lines.
+AT_ONCE = 200_000
 #: Texts that give negative paragraphs, and paragraphs used of them.
 NEGATIVE_TEXTS, NEGATIVES = 400, 4000
 # Notices of well-known licences, as their stewards publish them.
@@ -79,7 +81,7 @@ TEMPLATES: dict[str, list[str]] = {
     "Proprietary": ["All rights reserved. No part of this work may be reproduced without permission.", "Copyright, all rights reserved."],
 }
 _WORD = re.compile(r"[^\W_]+")
-#: A cheap look before a line is cut into words; every template has one of these, and the tests hold that.
+#: Words that lines about licences have; every template has one, and the tests hold that. No line needs one to be scored.
 _HINT = re.compile(r"licen[sc]e|permi|redistrib|rights|public domain|cc0|commons|copyright|gnu|apache|mozilla|spdx|cc.by", re.I)
 
 
@@ -140,6 +142,50 @@ class Classifier:
         return self.families[k], float(p[k]), self.shared(ws, self.families[k])
 
 
+class _Lines:
+    """The model over many lines at once: the same sums as Classifier.call(), from tables of n-grams by word numbers."""
+
+    def __init__(self, model: Classifier):
+        self.model = model
+        grams = [g for g in model.features if g not in ((), ("",))]
+        # 0 is a word of no template, and a place in which no n-gram of a template begins
+        self.words = {w: k for k, w in enumerate(sorted({w for g in grams for w in g}), 1)}
+        n = len(self.words) + 1
+        one, two = np.zeros(n, np.int64), np.zeros((n, n), np.int64)
+        for g in grams:
+            if len(g) == 1:
+                one[self.words[g[0]]] = model.features[g]
+            elif len(g) == 2:
+                two[self.words[g[0]], self.words[g[1]]] = model.features[g]
+        three = np.zeros((len(model.features), n), np.int64)  # by the first two words as a feature
+        for g in grams:
+            if len(g) == 3:
+                three[two[self.words[g[0]], self.words[g[1]]], self.words[g[2]]] = model.features[g]
+        self.tables = one, two, three
+
+    def hopeful(self, ids: list[int], sizes: list[int]) -> list[int]:
+        """Which lines, of ``sizes`` words numbered ``ids``, may be called a licence's; rounding aside, just those."""
+        one, two, three = self.tables
+        size = np.array(sizes, np.int64)
+        line, w = np.repeat(np.arange(len(size)), size), np.array(ids, np.int64)
+        own = one[w]
+        pair = np.where(line[1:] == line[:-1], two[w[:-1], w[1:]], 0)
+        triple = np.where(line[2:] == line[:-2], three[pair[:-1], w[2:]], 0)
+        n = len(self.model.features)
+        at = np.unique(np.concatenate([k[k > 0] + line[: len(k)][k > 0] * n for k in (own, pair, triple)]))
+        weights = self.model.weights
+        out = np.log1p(np.bincount(line[own == 0], minlength=len(size)))
+        z = weights[1] + out[:, None] * weights[0]
+        if at.size:
+            of = at // n
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            z[of[first]] += np.add.reduceat(weights[at % n], first, axis=0)
+        z /= self.model.temperature
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        best = np.delete(p, self.model.families.index(UNKNOWN), axis=1).max(axis=1) / p.sum(axis=1)
+        return np.flatnonzero((best >= LEAST_PROBABILITY - 1e-6) & (size > 0)).tolist()
+
+
 def train(negatives: list[str], rounds: int = 300, seed: int = 11) -> Classifier:
     """Learn from distorted templates and the negative paragraphs; every fifth example only fits the temperature."""
     rng = np.random.default_rng(seed)
@@ -216,26 +262,35 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the templates
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("shared", pa.float64()), ("confirmed", pa.bool_())])
 
-    def lines_of(text: str):
-        """(start, end) of the lines in which the cheap look finds a hint."""
-        at = -1
-        for m in _HINT.finditer(text):
-            if m.start() < at:
-                continue
-            start = text.rfind("\n", 0, m.start()) + 1
-            at = text.find("\n", m.end())
-            at = len(text) if at < 0 else at
-            yield start, at
-
     def run(batches):
         own = shared.value
+        lines = _Lines(own)
+        number = lines.words.get
         for b in batches:
             out: list[tuple] = []
+            held: list[tuple] = []
+            ids: list[int] = []
+            sizes: list[int] = []
+
+            def flush():
+                for k in lines.hopeful(ids, sizes):
+                    doc, start, line = held[k]
+                    if (found := own.call(line)) is not None:
+                        out.append((doc, start, start + len(line), *found, found[2] >= LEAST_SHARED))
+                held.clear(), ids.clear(), sizes.clear()
+
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py() or ""
-                for start, end in lines_of(text):
-                    if (found := own.call(text[start:end])) is not None:
-                        out.append((doc, start, end, *found, found[2] >= LEAST_SHARED))
+                at = 0
+                for line in (text.as_py() or "").split("\n"):
+                    ws = words_of(line)
+                    if ws:
+                        held.append((doc, at, line))
+                        ids.extend([number(w, 0) for w in ws])
+                        sizes.append(len(ws))
+                        if len(ids) >= AT_ONCE:
+                            flush()
+                    at += len(line) + 1
+            flush()
             columns = list(zip(*out)) if out else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
