@@ -6,13 +6,15 @@ and sets the rest: blocks on lines of their own with a blank line between paragr
 numbers and indentation, preformatted text as it is, tables with columns aligned.
 
 Defined results: null or empty html gives empty text; text without tags comes out with its white space collapsed;
-nesting deeper than MOST_DEPTH is attached at that depth; broken markup never fails.
+nesting may be of any depth, and is walked without recursion; broken markup never fails.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from html.parser import HTMLParser
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +22,6 @@ from pyspark.sql import functions as F
 
 from axiloom.llm.common import map_arrow
 
-MOST_DEPTH = 200
 VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas audio video datalist select option textarea".split())
 #: Blocks set off by a blank line, and blocks that only begin a new line.
@@ -64,31 +65,42 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}  # where in open the elements of a tag are, so that depth costs no search
+
+    def _push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def _cut(self, k: int) -> None:
+        """Close the open elements from k on."""
+        while len(self.open) > k:
+            self.at[self.open.pop().tag].pop()
+
+    def _last(self, tags) -> int:
+        """Where the innermost open element of tags is; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _end(self, tags: set[str], fence: set[str]) -> None:
         """Close open elements down to the lowest one of tags, unless a fence lies above it."""
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in fence:
-                return
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return self._end(tags, fence)
+        limit = self._last(fence)
+        while (k := self._last(tags)) > limit:
+            self._cut(k)
 
     def _in_table(self, tag: str) -> bool:
         """Close and open what puts the table part ``tag`` in its place; false outside a table."""
-        k = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == "table" or self.open[k].tag in _APART), 0)
+        k = self._last(("table", *_APART))
         if self.open[k].tag != "table":
             return False
         for parents in PLACES[tag]:
             if k + 1 < len(self.open) and self.open[k + 1].tag in parents:
                 k += 1
                 continue
-            del self.open[k + 1 :]
+            self._cut(k + 1)
             node = Node("tr" if "tr" in parents else "tbody", {})
             self.open[k].children.append(node)
-            self.open.append(node)
+            self._push(node)
             k += 1
-        del self.open[k + 1 :]
+        self._cut(k + 1)
         return True
 
     def handle_starttag(self, tag, attrs):
@@ -96,7 +108,7 @@ class TreeBuilder(HTMLParser):
             return
         top = self.open[-1].tag
         if top == "head" and tag not in METADATA or top == "colgroup" and tag not in ("col", "template"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in PLACES and self._in_table(tag):
             pass
         elif tag in IMPLIED:
@@ -105,25 +117,23 @@ class TreeBuilder(HTMLParser):
             self._end({"p"}, {"table", "td", "th", "li", "button", "object"})
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < MOST_DEPTH:
-            self.open.append(node)
+        if tag not in VOID:
+            self._push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", *_APART):
-                return
+        k = self._last((tag,))
+        through = tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or tag in _APART
+        if k and (through or self._last(("table", "td", "th")) <= k):
+            self._cut(k)
 
     def handle_data(self, data):
         if self.open[-1].tag in ("head", "colgroup") and data.strip(" \t\n\r\f"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
@@ -175,23 +185,38 @@ class _Page:
                 self.line += part
 
 
-def _table(node: Node) -> list[str]:
+#: A step of rendering: it yields the steps it needs, and is sent what each returns.
+Step = Generator[Any, Any, Any]
+
+
+def _run(step: Step) -> Any:
+    """What a step returns. Steps wait on a stack of their own, so that no depth is too deep."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def _table(node: Node) -> Step:
     rows: list[list[str]] = []
     caption: list[str] = []
-
-    def rows_of(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str) or c.unseen():
-                continue
+    parts = [c for c in node.children if not isinstance(c, str) and not c.unseen()]
+    for p in parts:
+        inner = [c for c in p.children if not isinstance(c, str) and not c.unseen()] if p.tag in ("thead", "tbody", "tfoot") else [p]
+        for c in inner:
             if c.tag == "tr":
-                cells = [x for x in c.children if not isinstance(x, str) and x.tag in ("td", "th") and not x.unseen()]
-                rows.append([" ".join(" ".join(_rendered(x)).split()) for x in cells])
+                row = []
+                for x in c.children:
+                    if not isinstance(x, str) and x.tag in ("td", "th") and not x.unseen():
+                        row.append(" ".join(" ".join((yield _rendered(x))).split()))
+                rows.append(row)
             elif c.tag == "caption":
-                caption.extend(_rendered(c))
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                rows_of(c)
-
-    rows_of(node)
+                caption.extend((yield _rendered(c)))
     rows = [r for r in rows if any(r)]
     width = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(max(map(len, rows), default=0))]
     return [*caption, *("  ".join(x.ljust(w) for x, w in zip(r, width)).rstrip() for r in rows)]
@@ -210,7 +235,7 @@ def _stray(node: Node) -> list[Node | str]:
     return out
 
 
-def _walk(node: Node, page: _Page, pre: bool) -> None:
+def _walk(node: Node, page: _Page, pre: bool) -> Step:
     tag = node.tag
     if tag == "br":
         if page.line:
@@ -226,9 +251,12 @@ def _walk(node: Node, page: _Page, pre: bool) -> None:
     if tag == "table":
         page.end(1)
         for c in _stray(node):
-            page.text(c) if isinstance(c, str) else None if c.unseen() else _walk(c, page, False)
+            if isinstance(c, str):
+                page.text(c)
+            elif not c.unseen():
+                yield _walk(c, page, False)
         page.end(1)
-        for line in _table(node):
+        for line in (yield _table(node)):
             page.start()
             page.line += line
             page.end(0)
@@ -254,22 +282,26 @@ def _walk(node: Node, page: _Page, pre: bool) -> None:
                 page.end(0)
                 page.prefix.append(page.prefix[-1] + " " * len(mark))
                 page.mark = mark
-                _walk(c, page, pre)
+                yield _walk(c, page, pre)
                 page.end(0)
                 page.mark = ""
                 page.prefix.pop()
             else:
-                _walk(c, page, pre or tag == "pre")
+                yield _walk(c, page, pre or tag == "pre")
     if added:
         page.prefix.pop()
     if tag in BLOCKS:
         page.end(int(spaced))
 
 
-def _rendered(node: Node) -> list[str]:
+def _rendered(node: Node) -> Step:
+    """The lines of what is in a node."""
     page = _Page()
     for c in node.children:
-        page.text(c) if isinstance(c, str) else None if c.unseen() else _walk(c, page, False)
+        if isinstance(c, str):
+            page.text(c)
+        elif not c.unseen():
+            yield _walk(c, page, False)
     page.end(0)
     return page.lines
 
@@ -279,7 +311,7 @@ def render(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    return "\n".join(_rendered(builder.root))
+    return "\n".join(_run(_rendered(builder.root)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

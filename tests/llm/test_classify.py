@@ -155,6 +155,20 @@ def test_html_implied_rows_and_end_of_head(html):
     assert html_text.render(html) == IMPLIED[html]
 
 
+@pytest.mark.parametrize("around", ["div", "span", "b", "section"])
+def test_html_depth_changes_nothing(around):
+    inner = "<script>no()</script><div hidden>no<div>no</div>no</div><table><tr><td>a<td>b</table>c<ul><li>d</ul>"
+    want = html_text.render(inner)
+    assert want == "a  b\n\nc\n\n- d"
+    for depth in (190, 199, 250, 20_000):
+        assert html_text.render(f"<{around}>" * depth + inner) == want
+        assert html_text.render(f"<{around}>" * depth + inner + f"</{around}>" * depth) == want
+    hidden = "<div hidden>" + "<div>" * 300 + "no" + "</div>" * 300 + "no</div>yes"
+    assert html_text.render(hidden) == "yes"
+    cells = "<table><tr><td>x<td>" * 400 + "y" + "</table>" * 400
+    assert html_text.render(cells).split() == ["x"] * 400 + ["y"]
+
+
 def test_html_survives_anything(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert html_text.render(deep) == "x"
