@@ -78,6 +78,24 @@ def principal_line(points: DataFrame, x: str = "i", y: str = "j") -> DataFrame:
     return s.where("n >= 3").select("n", "cx", "cy", F.cos(angle).alias("dx"), F.sin(angle).alias("dy"))
 
 
+def modal_line(grid: DataFrame, value: str, steps: tuple[float, float], bounds: tuple[float, float], level: float = 0.5) -> DataFrame:
+    """(x0, y0, x1, y1): the first principal axis of the field's boundary cells, clipped to the box from 0 to ``bounds``.
+
+    Cells (i, j) lie ``steps`` apart. No row for fewer than three cells, or if the line misses the box.
+    """
+    points = boundary(grid, value, level).select((F.col("i") * steps[0]).alias("x"), (F.col("j") * steps[1]).alias("y"))
+    line = principal_line(points, "x", "y")
+    lows, highs = [], []
+    for c, d, top in (("cx", "dx", bounds[0]), ("cy", "dy", bounds[1])):
+        slope = F.when(F.abs(d) > 1e-10, F.col(d))  # null along the other axis, which this one does not bound
+        ta, tb = -F.col(c) / slope, (F.lit(float(top)) - F.col(c)) / slope
+        lows.append(F.least(ta, tb))
+        highs.append(F.greatest(ta, tb))
+    line = line.withColumns({"_lo": F.greatest(*lows), "_hi": F.least(*highs)}).where("_lo < _hi")
+    at = {f"{k}{n}": F.col(f"c{k}") + F.col(t) * F.col(f"d{k}") for n, t in ((0, "_lo"), (1, "_hi")) for k in "xy"}
+    return line.select(*[e.alias(k) for k, e in at.items()])
+
+
 def saturated(presence: Column, level: float, k: float = 3.0) -> Column:
     """Presence that bends off towards ``level``: p * s / (p^k + s^k)^(1/k)."""
     return presence * level / F.pow(F.pow(presence, k) + float(level) ** k, 1 / k)

@@ -28,6 +28,25 @@ def test_bilinear(spark):
     assert got == {(0.0, 0.0): 0.0, (15.0, 3.0): pytest.approx(16.5), (30.0, 4.0): pytest.approx(32.0), (31.0, 0.0): 0.0, (-1.0, 1.0): 0.0}
 
 
+def test_modal_line_is_clipped_to_the_box(spark):
+    """A field that falls along a slanted line, one that falls along an axis, and one that never falls."""
+    for rule in (lambda i, j: 2 * i + j < 14, lambda i, j: j < 4, lambda i, j: True):
+        cells = [(i, j, 1.0 if rule(i, j) else 0.0) for i in range(11) for j in range(11)]
+        up = {(i, j) for i, j, v in cells if v > 0.5}
+        edge = [(i, j) for i, j, _ in cells if (i, j) not in up and up & {(i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)}]
+        got = analytics.modal_line(spark.createDataFrame(cells, "i int, j int, v double"), "v", (10.0, 5.0), (100.0, 50.0)).collect()
+        if not edge:
+            assert not got
+            continue
+        points = np.array(edge) * [10.0, 5.0]
+        centre = points.mean(axis=0)
+        axis = np.linalg.svd(points - centre, full_matrices=False)[2][0]
+        ends = [sorted((-c / d, (top - c) / d)) for c, d, top in zip(centre, axis, (100.0, 50.0)) if abs(d) > 1e-10]
+        want = [tuple(centre + t * axis) for t in (max(e[0] for e in ends), min(e[1] for e in ends))]
+        (r,) = got
+        np.testing.assert_allclose(sorted([(r["x0"], r["y0"]), (r["x1"], r["y1"])]), sorted(want), atol=1e-6)
+
+
 def test_boundary_and_line(spark):
     cells = spark.createDataFrame([(i, j, 1.0 if i + j <= 6 else 0.0) for i in range(10) for j in range(10)], "i int, j int, v double")
     edge = analytics.boundary(cells, "v")
