@@ -141,7 +141,7 @@ IMPLIED = {
     "<table><thead><th>h<tbody><td>x</td><td>y</tbody></table>": "h\nx  y",
     "<table><colgroup><col><tr><td>a<td>b</table>": "a  b",
     "<table><caption>C<td>a</table>": "C\na",
-    "<table><form><td>a<b>b<td>c<table><td>d</table>e</table>": "ab  c d e",
+    "<table><form><td>a<b>b<td>c<table><td>d</table>e</table>": "ab  c\n\n    d\n\n    e",
     "<table><tr><noscript><td>no</noscript><td>yes</table>": "yes",
     "<head><title>T</title>Hello <a>x</a></head> y": "Hello x y",
     "<head><title>T</title><b>Hello<p>World": "Hello\n\nWorld",
