@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,6 +23,10 @@ ROW = "_axiloom_row"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: dict[str, str] = {}
+#: Writes that run, and the setting they found.
+_writers: list[int] = [0]
+_before: list[str | None] = []
+_lock = threading.Lock()
 _shipped: set[str] = set()
 
 
@@ -29,10 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all run in one process,
+    as in tests, it is one of our own."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="axiloom-")
@@ -43,16 +52,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/axiloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _dropping_shuffles(spark: SparkSession):
+    """While any write of this module runs, what a finished query has shuffled is dropped: it is of no use after it."""
+    with _lock:
+        if not _writers[0]:
+            _before[:] = [spark.conf.get(_CLEAN, None)]
+            spark.conf.set(_CLEAN, "true")
+        _writers[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers[0] -= 1
+            if not _writers[0]:
+                spark.conf.unset(_CLEAN) if _before[0] is None else spark.conf.set(_CLEAN, _before[0])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends in files that outlive any executor."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")  # what the write has shuffled is of no use after it
-    try:
+    path = fresh_path(df.sparkSession, name)
+    with _dropping_shuffles(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._path = path
     return out
 
@@ -62,11 +84,11 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axiloom.llm.common import materialize
+from axiloom.llm.common import materialize, release
 
 MOST_ROUNDS = 60
 
@@ -28,13 +28,15 @@ def connected_components(links: DataFrame) -> DataFrame:
         if not seen[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        met = large.join(low.hint("merge"), "u")
-        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        release(edges, least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        met = large.join(least.hint("merge"), "u")
+        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.where("u <> v").distinct(), "edges")
+        release(large, least)
         now = _mark(edges)
         if now == seen:
             break

@@ -26,7 +26,27 @@ def test_exact_dedup(spark, make, corpus):
         assert r["text_sha256"] == hashlib.sha256(lower(corpus[r["doc_id"]]).encode()).hexdigest()
     kept = exact_dedup.drop_copies(make(corpus))
     assert kept.columns == make([]).columns and {r["doc_id"] for r in kept.collect()} == {max(g) for g in groups.values()}
-    assert exact_dedup.exact_dedup(make([])).count() == 0
+    assert exact_dedup.exact_dedup(make([])).count() == 0 and exact_dedup.drop_copies(make([])).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+def test_digests_are_combined_before_they_are_shuffled(spark, make):
+    hot = make(["same text"] * 3000).repartition(6)
+    digests = hot.select("doc_id", exact_dedup.text_digest(hot["text"]).alias("digest"))
+    plan = exact_dedup.distinct_digests(digests)._jdf.queryExecution().executedPlan().toString()
+    last, first = plan.index("Exchange hashpartitioning(digest"), plan.index("partial_max")
+    assert plan.index("HashAggregate") < last < first and plan.count("hashpartitioning(digest") == 1
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index"), buckets=2)
+    before, plans = index.append, []
+
+    def append(groups, batch):
+        plans.append(groups._jdf.queryExecution().optimizedPlan().toString())
+        before(groups, batch)
+
+    index.append = append
+    rows = exact_dedup.exact_dedup(hot, index).collect()
+    # read from files: nothing is left that the anti-join could be moved below
+    assert plans[0].startswith("Relation") and {(r["keep_id"], r["group_size"]) for r in rows} == {(2999, 3000)} and sum(r["kept"] for r in rows) == 1
 
 
 def test_rows_with_null_or_repeated_ids_are_dropped_one_by_one(spark, make):
@@ -49,6 +69,12 @@ def test_index_remembers_batches(spark, make):
     rows = {r["doc_id"]: r for r in exact_dedup.exact_dedup(make(["A", "c", "c"], ids=[10, 11, 12]), again, "two").collect()}
     assert (rows[10]["kept"], rows[10]["keep_id"]) == (False, 0)
     assert not rows[11]["kept"] and rows[12]["kept"] and again.entries().count() == 3
+    rerun = {r["doc_id"]: r for r in exact_dedup.exact_dedup(make(["A", "c", "c"], ids=[10, 11, 12]), again, "two").collect()}
+    assert rerun == rows
+    kept = exact_dedup.drop_copies(make(["a", "d", "D", "c"], ids=[20, 21, 21, 23]), again, "three").collect()
+    assert [(r["doc_id"], r["text"]) for r in kept] in ([(21, "d")], [(21, "D")]) and again.entries().count() == 4
+    again.forget()
+    assert exact_dedup.DigestIndex(spark, index.path, buckets=3).entries().count() == 4
 
 
 def brute_fingerprint(t):
