@@ -136,3 +136,20 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], amount: Colum
     inside = Window.partitionBy(*group, "_b").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("_in", F.coalesce(F.sum("_a").over(inside), F.lit(0)))
     return placed.join(base, [*group, "_b"]).withColumn(out, F.col("_base") + F.col("_in")).drop("_h", "_b", "_a", "_base", "_in")
+
+
+def running_sums(df: DataFrame, order: list[Column], amounts: dict[str, Column], name: str) -> DataFrame:
+    """Add for each of ``amounts`` its sum over the rows that come before in ``order``, which no two rows share.
+
+    Rows are dealt into ranges of the order and written, so that they stay there; each range sums its own rows, after
+    the totals of the ranges before it: as many numbers as there are shuffle partitions, and no task has more rows than
+    a range. The ranges differ from run to run, so amounts should be whole numbers, whose sums don't.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select("*", *[c.alias(f"_a_{k}") for k, c in amounts.items()])
+    dealt = materialize(dealt.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), name)
+    totals = dealt.groupBy("_range").agg(*[F.sum(f"_a_{k}").alias(k) for k in amounts])
+    before, inside = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.orderBy("_range"), Window.partitionBy("_range").orderBy(*order)))
+    bases = totals.select("_range", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_b_{k}") for k in amounts])
+    placed = dealt.select("*", *[F.coalesce(F.sum(f"_a_{k}").over(inside), F.lit(0)).alias(f"_i_{k}") for k in amounts])
+    return placed.join(F.broadcast(bases), "_range").select(*df.columns, *[(F.col(f"_b_{k}") + F.col(f"_i_{k}")).alias(k) for k in amounts])

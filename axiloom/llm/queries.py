@@ -22,7 +22,7 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot", "slots")
 
 
 def _held_out(parts: int, part: int) -> Column:

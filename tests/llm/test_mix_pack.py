@@ -55,14 +55,83 @@ def test_mix(spark, make, corpus, bits):
     assert dict(per_doc) == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
 
 
+SOURCES = "sid long, source string, source_size long, target double"
+
+
 def test_schedule_is_even(spark):
-    src = spark.createDataFrame([(0, "a", 10_000, 5000.0), (1, "b", 10_000, 2000.0), (2, "c", 10_000, 1000.0)], "sid int, source string, source_size long, target double")
+    src = spark.createDataFrame([(0, "a", 10_000, 5000.0), (1, "b", 10_000, 2000.0), (2, "c", 10_000, 1000.0)], SOURCES)
     slots = sorted(mixing.schedule(src, bits=10).collect(), key=lambda r: r["slot"])
     for n in (100, 300, 900):
         share = np.bincount([r["sid"] for r in slots[:n]], minlength=3) / n
         np.testing.assert_allclose(share, [0.625, 0.25, 0.125], atol=0.02)
 
 
+def test_ranks_are_those_of_sorted_points(spark, monkeypatch):
+    """Slots against the van der Corput sequence itself, in many chunks and with sources of hardly a point."""
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    weights = [700.0, 0.7, 300.0, 1.2, 22.1, 0.0, 3.0]
+    src = spark.createDataFrame([(k, str(k), 2000, w) for k, w in enumerate(weights)], SOURCES)
+    for bits in (4, 9, 12):
+        n = 1 << bits
+        point = [int(f"{t:0{bits}b}"[::-1], 2) for t in range(n)]
+        edges = np.round(np.cumsum([0, *np.round(np.array(weights) * 1024)]) / np.round(np.array(weights) * 1024).sum() * n).astype(int)
+        got = defaultdict(dict)
+        for r in mixing.schedule(src, bits).collect():
+            got[r["sid"]][r["rank"]] = r["slot"]
+        for k in got:
+            times = [t for t in range(n) if edges[k] <= point[t] < edges[k + 1]]
+            own = [got[k][r] for r in range(len(got[k]))]
+            assert own[: len(times)] == times[: len(own)] and all(t >= n for t in own[len(times) :])
+        assert set(got) == {k for k, w in enumerate(weights) if w >= 0.5}
+
+
+def test_the_schedule_decides_when_documents_come(spark, make, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(["w"] * int(n)) for n in rng.integers(5, 60, 900)]
+    sources = [str(rng.choice(["a", "b", "c"], p=[0.4, 0.3, 0.3])) for _ in texts]
+    docs = make(texts, sources)
+    found = mixing.mix(docs)[0].collect()
+    taken = defaultdict(int)
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        assert (r["taken"] > 0) == (r["slots"] > 0) == (r["first_slot"] is not None)
+    share = {s: n / sum(taken.values()) for s, n in taken.items()}
+    # in any beginning of the mix, sources have about the shares that they have in all of it
+    stream = sorted(mixing.mix(docs)[1].collect(), key=lambda r: (r["slot"], r["at"]))
+    for part in (0.1, 0.25, 0.6):
+        have, at = defaultdict(int), 0
+        for r in stream:
+            if at < part * sum(taken.values()):
+                have[r["source"]] += r["length"]
+                at += r["length"]
+        assert all(abs(have[s] / at - share[s]) < 0.02 for s in share)
+    # and in the table that the pipeline goes on with
+    rows = [r for f in mixing.mixed_documents(docs).rdd.glom().collect() for r in f]
+    for part in (0.2, 0.5):
+        some = rows[: int(part * len(rows))]
+        words = sum(r["text"].count("w") for r in some)
+        assert all(abs(sum(r["text"].count("w") for r in some if r["source"] == s) / words - share[s]) < 0.06 for s in share)
+    # another schedule, another order
+    monkeypatch.setattr(mixing, "reversed_bits", lambda df, source, out, bits: df.withColumn(out, df[source]))
+    other = mixing.mix(docs)[0].collect()
+    assert {(r["doc_id"], r["first_slot"]) for r in other} != {(r["doc_id"], r["first_slot"]) for r in found}
+
+
+def test_many_sources(spark, make):
+    """As many sources as documents, and hosts of which one has a third of all rows."""
+    texts = [f"w{k} " * (k % 7) for k in range(3000)]
+    sources = [f"host{k}" if k % 3 else "hot" for k in range(3000)]
+    rows = mixing.mix(make(texts, sources))[0].collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for t, s in zip(texts, sources):
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    for r in rows:
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]]) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert len(rows) == 3000 and all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+
+
 def test_mixed_documents_and_odd_tables(spark, make, corpus):
     docs = make(corpus, ["a" if k % 2 else "b" for k in range(len(corpus))])
     out = mixing.mixed_documents(docs)
