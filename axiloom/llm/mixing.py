@@ -89,7 +89,8 @@ def schedule(src: DataFrame, bits: int) -> DataFrame:
     s = s.withColumns({"quota": F.round("target").cast("long"), "blocks": F.ceil(F.col("source_size") / F.col("width")).cast("long")})
     s = s.withColumn("need", F.expr("(quota div source_size) * blocks + ceil((quota % source_size) / width)").cast("long"))
     s = s.withColumn("n", F.greatest("need", F.col("hi") - F.col("lo"))).withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")))
-    s = s.repartition("sid", "chunk").withColumn("r", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(n, (chunk + 1) * {CHUNK}) - 1)")))
+    spread = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = s.repartition(spread, "sid", "chunk").withColumn("r", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(n, (chunk + 1) * {CHUNK}) - 1)")))
     s = reversed_bits(s.withColumn("point", F.col("lo") + F.col("r")), "point", "time", bits)
     # slots beyond those that the points give come last; a source whose points are too many leaves some unused
     early = F.col("point") < F.col("hi")
@@ -128,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     cut = cut.withColumn("from", F.greatest("start_at", F.col("block") * width))
     cut = cut.withColumn("length", F.least(F.col("start_at") + F.col("size"), (F.col("block") + 1) * width) - F.col("from"))
     cut = cut.withColumn("at", F.col("from") - F.col("block") * width)
-    met = cut.join(schedule(src, bits), ["sid", "block"])
+    met = cut.join(schedule(src, bits).hint("merge"), ["sid", "block"])  # slots grow with the input
     got = F.least("length", F.col("take") - F.col("at"))
     stream = met.withColumn("length", got).where("length > 0").select("slot", "epoch", "source", "doc_id", (F.col("from") - F.col("start_at")).alias("start"), "length", "at", "sid", "start_at")
     starts = F.array(*[F.min(F.when(F.col("epoch") == e, F.col("slot"))) for e in range(math.ceil(most))])
