@@ -4,37 +4,45 @@ Documents are tokenised once; each is cut into full windows and one remainder. T
 only: the driver gets how many there are of each length, never more numbers than a window has tokens. While some are
 left, a subset-sum dynamic program over bit sets finds the multiset of lengths that holds the longest one and fills a
 window closest to its capacity; backtracking gives the count of each length, and the pattern is used as often as the
-counts allow. Pieces then find their place by their rank among those of their length, in a join with the patterns.
+counts allow. Pieces then find their place by their rank among those of their length, by binary search in the patterns.
+
+A rank is the number of pieces of that length in the tasks before, and in the task itself; tasks count as they cut, so
+nothing is sorted, and the length that most pieces have, the full window, is numbered like any other.
 
 Defined results: a null text is empty, and an empty text is the end token alone; rows that repeat a doc_id are packed
-each; an empty table gives no pieces. Sequences whose content is a power of two long need no padding.
+each, as do rows without one; a text of any length gives as many pieces as it fills windows; an empty table gives no
+pieces; other columns are left alone. Sequences whose content is a power of two long need no padding.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from axiloom.llm.common import map_arrow, materialize, prefix_sums
+from axiloom.llm.common import map_arrow, materialize
 
 WINDOW = 2048
 END = 1
-#: Words whose ids a worker remembers, and the pieces of work inside a batch.
-CACHE_WORDS, ROWS = 1_200_000, 256
+#: Words whose ids a worker remembers, rows of a batch that are worked on at a time, and words encoded together.
+CACHE_WORDS, ROWS, TOGETHER = 1_200_000, 128, 256
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_MARK_BYTES = frozenset(_MARKS)
 _state: dict = {}
 
 
 def _ends_in_letter(word: bytes) -> bool:
-    last = word[-4:].decode("utf-8", "ignore")
-    return last[-1:].isalpha() and word.endswith(last[-1:].encode())
+    """Whether the tokenizer, which lower-cases, sees a letter at the end: of a capital I with a dot, it sees the dot."""
+    last = word[-4:].decode("utf-8", "ignore")[-1:]
+    return word.endswith(last.encode()) and last.lower()[-1:].isalpha()
 
 
 def _ids_of(path: str):
@@ -47,8 +55,10 @@ def _ids_of(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _state[path]
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = None  # which leaves lower-case ASCII as it is
+        _state[path] = (Tokenizer.from_file(path), bare, {})
+    tokenizer, bare, cache = _state[path]
     (zero,) = tokenizer.encode("0", add_special_tokens=False).ids
 
     def put(part: list[bytes], ids: np.ndarray, ends: np.ndarray, between: int) -> None:
@@ -59,18 +69,21 @@ def _ids_of(path: str):
             cache[w] = packed[at:end]
             at = end + 4 * between
 
-    def learn(missing: list[bytes]) -> None:
+    def learn(missing: set[bytes]) -> None:
         """Put words into the cache. A word that ends in ASCII punctuation after a letter or digit is cut there, where
         the tokenizer would cut it too."""
-        cut = [(w, base) for w in missing if b"<|" not in w and len(base := w.rstrip(_MARKS)) < len(w) and base and (base[-1:].isalnum() or base[-1] > 127 and _ends_in_letter(base))]
-        whole = set(missing).difference(w for w, _ in cut)
-        whole |= {part for w, base in cut for part in (base, w[len(base) :]) if part not in cache}
+        ending = [w for w in missing if w[-1] in _MARK_BYTES and b"<|" not in w]
+        cut = [(w, base) for w in ending if (base := w.rstrip(_MARKS)) and (base[-1:].isalnum() or base[-1] > 127 and _ends_in_letter(base))]
+        whole = missing.difference(w for w, _ in cut)
+        whole |= {part for w, base in cut for part in (base, w[len(base) :])}.difference(cache)
         plain = [w for w in whole if b"0" not in w and b"<|" not in w]
-        for k in range(0, len(plain), 2048):
-            # a lone 0 between words: its id comes from nothing else, as no other word here has that digit
-            part = plain[k : k + 2048]
-            ids = np.array(tokenizer.encode(b" 0 ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
-            put(part, ids, np.append(np.flatnonzero(ids == zero), len(ids)), 1)
+        for own, words in ((bare, [w for w in plain if w.isascii()]), (tokenizer, [w for w in plain if not w.isascii()])):
+            for k in range(0, len(words), TOGETHER):
+                # a lone 0 between words: its id comes from nothing else, as no other word here has that digit
+                part = words[k : k + TOGETHER]
+                (got,) = own.encode_batch_fast([b" 0 ".join(part).decode("utf-8", "replace")], add_special_tokens=False)
+                ids = np.array(got.ids, "<u4")
+                put(part, ids, np.append(np.flatnonzero(ids == zero), len(ids)), 1)
         other = list(whole.difference(plain))
         for k in range(0, len(other), 2048):
             part = other[k : k + 2048]
@@ -81,11 +94,12 @@ def _ids_of(path: str):
 
     def encode(texts: list[bytes]) -> list[bytes]:
         # the tokenizer lower-cases; only its special strings, which are looked for before that, must stay as they are
-        split = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts]
-        new = [w for w in set().union(*split) if w not in cache]
+        split = [[w if b"<|" in w else w.translate(_LOWER) for w in t.split()] if b"<|" in t else t.translate(_LOWER).split() for t in texts]
+        words = set().union(*split)
+        new = words.difference(cache)
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = list(set().union(*split))
+            new = words
         learn(new)
         get = cache.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
@@ -94,14 +108,15 @@ def _ids_of(path: str):
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
-    """Cut the token ids of each text, with the end token, into windows: doc_id, start, length, ids_crc32, doc_tokens
-    and, with keep_ids, ids."""
+    """Cut the token ids of each text, with the end token, into windows: doc_id, start, length, ids_crc32, doc_tokens,
+    part (the task), nth (how many of its length the task had cut before) and, with keep_ids, ids."""
     end = END.to_bytes(4, "little")
-    fields = [pa.field(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth")
+    fields = [pa.field(n, pa.int64()) for n in names]
     schema = pa.schema([*fields, *([pa.field("ids", pa.list_(pa.int32()))] if keep_ids else [])])
 
     def cut(batches):
-        encode = _ids_of(tokenizer)
+        encode, task, seen = _ids_of(tokenizer), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for k in range(0, batch.num_rows, ROWS):
@@ -112,12 +127,14 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
                     n = len(ids) // 4
                     for at in range(0, n, window):
                         own = ids[4 * at : 4 * (at + window)]
-                        row = [doc, at, len(own) // 4, zlib.crc32(own), n]
+                        length = len(own) // 4
+                        row = [doc, at, length, zlib.crc32(own), n, task, seen[length]]
+                        seen[length] += 1
                         for column, value in zip(out, [*row, pa.array(memoryview(own).cast("i")) if keep_ids else None]):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in c] if n == 5 else c, schema.types[n]) for n, c in enumerate(out)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in c] if n == len(names) else c, schema.types[n]) for n, c in enumerate(out)], schema=schema)
 
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
+    kinds = ", ".join(f"{n} long" for n in names) + ", ids array<int>" * keep_ids
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), cut, kinds)
 
 
@@ -169,15 +186,39 @@ def patterns(counts: dict[int, int], capacity: int = WINDOW) -> list[tuple[int,
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
-    """Every piece with its place: the columns of pieces() and sequence_id, offset."""
-    spark = docs.sparkSession
+    """Every piece with its place: the columns of pieces() but part and nth, and sequence_id, offset."""
     cut = materialize(pieces(docs, tokenizer, window, keep_ids), "pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    totals = materialize(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths-by-task")
+    counts = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     whole = counts.pop(window, 0)
     rows = [(window, 0, whole, 1, 0, 0), *((k, a, b, c, s + whole, o) for k, a, b, c, s, o in patterns(counts, window))]
-    place = spark.createDataFrame(rows, "length long, r0 long, r1 long, copies long, s0 long, o0 long")
-    # at most a few pieces of each length and round: bounded by the window, see patterns()
-    ranked = prefix_sums(cut, ["length"], ["doc_id", "start"], F.lit(1), "rank", 64)
-    met = ranked.join(F.broadcast(place), "length").where("rank >= r0 and rank < r1")
-    columns = [c for c in cut.columns]
-    return met.select(*columns, F.expr("s0 + (rank - r0) div copies").alias("sequence_id"), F.expr("o0 + (rank - r0) % copies * length").alias("offset"))
+    # a few of each length and round: bounded by the window, see patterns()
+    table = np.array(sorted(r for r in rows if r[1] < r[2]) or [(0, 0, 0, 1, 0, 0)], np.int64)
+    heads = {int(k): (int(a), int(b)) for k, a, b in zip(*_runs(table[:, 0]))}
+    shared = docs.sparkSession.sparkContext.broadcast((table, heads))
+    kinds = pa.struct([("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        table, heads = shared.value
+        length, rank = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        at = np.zeros(len(rank), np.int64)
+        order = np.argsort(length, kind="stable")
+        for k, a, b in zip(*_runs(length[order])):
+            first, end = heads[int(k)]
+            own = order[a:b]
+            at[own] = first + np.searchsorted(table[first:end, 1], rank[own], side="right") - 1
+        _, low, _, copies, sequence, offset = table[at].T
+        return pa.StructArray.from_arrays([pa.array(sequence + (rank - low) // copies), pa.array(offset + (rank - low) % copies * length)], fields=list(kinds))
+
+    found = F.arrow_udf(place, "sequence_id long, offset long")
+    # a task's base: the pieces of that length in the tasks before
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = cut.join(bases.hint("merge"), ["length", "part"]).withColumn("at", found("length", F.col("base") + F.col("nth")))
+    return ranked.select(*[c for c in cut.columns if c not in ("part", "nth")], "at.sequence_id", "at.offset")
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, start, end) of each stretch of equal values."""
+    cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return x[cuts], cuts, np.append(cuts[1:], len(x))

@@ -192,6 +192,15 @@ def test_pack(spark, make, corpus):
     assert list(ids) == pieces_of("a b")[0][1]
 
 
+def test_ids_are_the_tokenizers():
+    """Words cut at punctuation, encoded together and without a normalizer, against the tokenizer on whole texts."""
+    whole, encode, rng = Tokenizer.from_file(VOCABULARY), packing._ids_of(VOCABULARY), np.random.default_rng(3)
+    texts = ["I'LL <|endoftext|> I'LL'S", "a\x1cb \x85x", "sİ'", "İ.\u0301", "'", "\u0301a"]
+    texts += ["".join(rng.choice(list("abAB0'.,!-é½Σ \t\n<|>sSİ\u0301\x1f\x00漢"), rng.integers(1, 30))) for _ in range(3000)]
+    for t, ids in zip(texts, encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_patterns_fill_windows():
     rng = np.random.default_rng(1)
     counts = {int(k): int(rng.integers(1, 90)) for k in rng.integers(1, 100, 60)}
