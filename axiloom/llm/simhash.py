@@ -8,11 +8,14 @@ distance of two points is then the number of bits in which their sorted forms di
 The grid: the 32 counts form 7 blocks. Points at Manhattan distance 4 or less differ in at most 4 blocks and so agree
 in at least 3; each of the 35 ways to choose 3 blocks is a grid whose cells are the counts in those blocks. A link
 therefore always shows in some cell, and no cell needs its neighbours. Inside a cell, pairs within the Manhattan bound
-are checked exactly. Small cells are compared pair by pair; in large ones a search from each unvisited fingerprint
-links whole groups and gives one link per member, so that a group of near copies never becomes all of its pairs.
-
-Defined results: a text without words (null, empty, blank) has fingerprint 0 and links like any other; equal
-fingerprints are one node, whatever the number of rows and their doc_id; rows that repeat a doc_id get one result each;
+are checked exactly. Small cells are compared pair by pair. Cells grow with the corpus, so larger ones are cut again:
+groups that many of a cell belong to are searched out first and give one link per member, so that a group of near copies
+never becomes all of its pairs; of the rest, two fingerprints that differ in at most 4 bits agree in one of any 5 bands
+of bits, and are compared where they agree, in bands of the other bits where that is still a crowd. Work in a cell is so
+about in proportion to what it holds, and exact.
+
+Defined results: a text without words (null, empty, blank) has fingerprint 0 and links like any other; a text of any
+length has one; equal fingerprints are one node, whatever the number of rows and their doc_id; rows that repeat a doc_id get one result each;
 rows with a null doc_id link like any other, and component_id is null only where no row of a component has a doc_id.
 """
 
@@ -32,6 +35,7 @@ from axiloom.llm.components import connected_components
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Two-bit segments in each block; any 3 of the 7 blocks make a grid.
 BLOCKS = (5, 5, 5, 5, 4, 4, 4)
+#: Up to how many fingerprints of a cell are compared pair by pair.
 PAIRWISE = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EVEN = 0x5555555555555555
@@ -96,32 +100,104 @@ def _search(fp: np.ndarray, distance: int):
         yield np.concatenate(group)
 
 
-def _links(rows: tuple[np.ndarray, ...], distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (rep, rep) inside the cells of rows (grid, cell, fp, rep), sorted by cell."""
-    grid, cell, fp, rep = rows
-    new = np.concatenate(([True], (grid[1:] != grid[:-1]) | (cell[1:] != cell[:-1])))
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(cell)))
-    run = np.repeat(np.arange(len(first)), size)
-    a, b = [], []
-    at = np.flatnonzero((size[run] > 1) & (size[run] <= PAIRWISE))
+def _bands(free: int, n: int) -> list[int]:
+    """The bits set in ``free``, dealt into n masks."""
+    bits = [1 << k for k in range(64) if free >> k & 1]
+    return [sum(bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where stretches of equal keys begin."""
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+
+
+def _star(rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return rep, np.full(len(rep), rep.min())
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as connect what (a, b) connect: each to the least of its group."""
+    ids, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (x, y, label[x], label[y]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(ids))
+    return ids[other], ids[label[other]]
+
+
+def _dense(fp: np.ndarray, rep: np.ndarray, distance: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Links of the groups that one in 16 belongs to, found from a few seeds, and which fingerprints are in none."""
+    out, left = [], np.arange(len(fp))
+    while len(left) > PAIRWISE:
+        seeds = left[:: -(-len(left) // 8)]
+        near = [int((np.bitwise_count(fp[left] ^ fp[k]) <= distance).sum()) for k in seeds]
+        if 16 * max(near) < len(left):
+            break
+        turned = np.roll(left, -int(np.flatnonzero(left == seeds[np.argmax(near)])[0]))
+        group = turned[next(_search(fp[turned], distance))]
+        if len(group) > 1:
+            out.append(_star(rep[group]))
+        left = np.setdiff1d(left, group)
+    return out, left
+
+
+def _within(run: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int, free: int = (1 << 64) - 1) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rep, rep) inside the runs, which lie one after the other; in each, fingerprints differ in ``free`` only."""
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    first = _starts(run)
+    size = np.diff(np.append(first, len(run)))
+    each = np.repeat(size, size)
+    at = np.flatnonzero((each > 1) & (each <= PAIRWISE))
     for d in range(1, PAIRWISE):
         at = at[at + d < len(run)]
         at = at[run[at] == run[at + d]]
         if not at.size:
             break
         hit = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= distance]
-        a.append(rep[hit])
-        b.append(rep[hit + d])
-    for k in np.flatnonzero(size > PAIRWISE):
-        own = slice(first[k], first[k] + size[k])
-        for group in _search(fp[own], distance):
-            if len(group) > 1:
-                r = rep[own][group]
-                a.append(r)
-                b.append(np.full(len(r), r.min()))
-    empty = [np.zeros(0, np.int64)]
-    return np.concatenate(a or empty), np.concatenate(b or empty)
+        found.append((rep[hit], rep[hit + d]))
+    crowd = size > PAIRWISE
+    if crowd.any():
+        stay = each > PAIRWISE
+        near = np.zeros(len(size), np.int64)
+        for k in range(4):
+            seed = fp[first + size * k // 4]
+            near = np.maximum(near, np.add.reduceat((np.bitwise_count(fp ^ np.repeat(seed, size)) <= distance).astype(np.int64), first))
+        for k in np.flatnonzero(crowd & (16 * near >= size)):
+            own = slice(first[k], first[k] + size[k])
+            links, left = _dense(fp[own], rep[own], distance)
+            found += links
+            stay[own] = np.isin(np.arange(size[k]), left)
+        varies = int(np.bitwise_or.reduce((fp ^ np.repeat(fp[first], size))[stay], initial=np.uint64(0))) & free
+        run, fp, rep = run[stay], fp[stay], rep[stay]
+        if varies.bit_count() < 4 * (distance + 1):
+            for k, end in zip(_starts(run), np.append(_starts(run)[1:], len(run))):
+                found += [_star(rep[k:end][g]) for g in _search(fp[k:end], distance) if len(g) > 1]
+        else:
+            met = []
+            for band in _bands(varies, distance + 1):
+                key = fp & np.uint64(band)
+                order = np.lexsort((key, run))
+                r, k = run[order], key[order]
+                parts = np.cumsum(np.concatenate(([0], (r[1:] != r[:-1]) | (k[1:] != k[:-1]))))
+                met.append(_forest(*_within(parts, fp[order], rep[order], distance, varies & ~band)))
+            found.append(_forest(*map(np.concatenate, zip(*met))))
+    a, b = zip(*found)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _links(rows: tuple[np.ndarray, ...], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rep, rep) inside the cells of rows (grid, cell, fp, rep), sorted by cell."""
+    grid, cell, fp, rep = rows
+    run = np.cumsum(np.concatenate(([0], (grid[1:] != grid[:-1]) | (cell[1:] != cell[:-1]))))
+    return _within(run, fp, rep, distance)
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,6 +136,62 @@ def test_links_of_dense_and_random_fingerprints(spark, flips):
     assert [got.get(k, k) for k in range(len(fps))] == brute_components(fps)
 
 
+def roots_of(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def near_pairs(fp, distance):
+    for i in range(len(fp) - 1):
+        for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= distance):
+            yield i, i + 1 + int(j)
+
+
+def crowd(rng, n, dense, pairs, loose=0):
+    """Fingerprints of one cell: alone, around one of them, in pairs, and some that differ in few bits at all."""
+    fixed = np.uint64(0x3FF3FF3FF)
+    alone = rng.integers(0, 1 << 64, n, np.uint64) & ~fixed | np.uint64(0x155) & fixed
+    spread = np.flatnonzero([int(~fixed) >> k & 1 for k in range(64)])
+    flipped = lambda f, most: f ^ np.uint64(sum(1 << int(b) for b in rng.permutation(spread)[: rng.integers(1, most + 1)]))
+    out = [alone, np.array([flipped(alone[0], 3) for _ in range(dense)], np.uint64), np.array([flipped(f, 4) for f in alone[1 : pairs + 1]], np.uint64)]
+    out.append(alone[-1] & ~np.uint64(0xFFFFFFFF) | rng.integers(0, 1 << 17, loose, np.uint64) << np.uint64(40) & ~fixed)
+    return rng.permutation(np.unique(np.concatenate(out)))
+
+
+@pytest.mark.parametrize(("dense", "loose"), [(0, 0), (900, 0), (0, 700), (2500, 300)])
+def test_crowded_cells_are_searched_exactly(dense, loose):
+    fp = crowd(np.random.default_rng(dense + loose), 2500, dense, 300, loose)
+    ids = np.arange(len(fp))
+    a, b = simhash._links((np.zeros(len(fp), np.int8), np.zeros(len(fp), np.int64), fp, ids), 4)
+    assert roots_of(len(fp), zip(a.tolist(), b.tolist())) == roots_of(len(fp), near_pairs(fp, 4))
+
+
+def test_a_cell_of_200000_takes_little_more_than_one_of_50000():
+    rng = np.random.default_rng(9)
+
+    def took(n):
+        fp = crowd(rng, n, n // 50, n // 4)
+        ids = np.arange(len(fp))
+        began = time.process_time()
+        a, b = simhash._links((np.zeros(len(fp), np.int8), np.zeros(len(fp), np.int64), fp, ids), 4)
+        pairs = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+        assert n // 4 <= len(pairs) == len(a) < n
+        return time.process_time() - began
+
+    small, large = took(50_000), took(200_000)
+    assert large < 12 * small + 1  # all pairs would take 16 times as long, and minutes
+
+
 def test_cells_are_a_lower_bound():
     masks = simhash.block_masks()
     assert sum(masks) == (1 << 64) - 1
