@@ -5,7 +5,9 @@ Training never collects rows: features are cut at learned thresholds, the labell
 features, and the driver grows and prunes rules on those counts. Their number is bounded by the cuts, not by the data.
 
 Defined results: a null text has no words and zero counts, and fails the base rules; without labelled rows the list is
-empty and the base rules alone decide; extra columns are ignored by the statistics and kept by the filter.
+empty and the base rules alone decide; extra columns are ignored by the statistics and kept by the filter; rows that
+repeat a doc_id are counted and judged each, with the largest of their labels; an empty table gives no rows. A list has at
+most ``most_rules`` rules of at most MOST_CONDITIONS conditions: what it says must stay readable.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ FEATURES = {
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)",
     "capitals": "n_capitals / greatest(word_chars, 1)", "echoes": "n_echoes / greatest(n_words, 1)",
 }
-WINDOW = 5
+WINDOW, MOST_CONDITIONS = 5, 4
 
 
 def _covered(windows: Column) -> Column:
@@ -177,7 +179,7 @@ def _cover(cells: list[tuple[tuple[int, ...], tuple[int, ...]]], names: list[str
     while len(found) < most_rules:
         rule: list[tuple[int, bool, int]] = []
         inside = left
-        while counts[inside, 0].sum() and counts[inside, 1].sum() and len(rule) < 4:
+        while counts[inside, 0].sum() and counts[inside, 1].sum() and len(rule) < MOST_CONDITIONS:
             if (c := best_condition(inside)) is None:
                 break
             rule.append(c)
@@ -202,8 +204,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the base rules and the learned list keep. The list is learned in a first pass; the
-    second computes statistics beside the texts, so that no text is shuffled."""
-    rules = learn(with_statistics(docs.select("doc_id", "text")).drop("text"), labels)
+    """The rows of ``docs`` that the base rules or the learned list don't reject, all columns as they are, whatever their
+    names. Statistics are computed once and written beside the rows, so that no text is read twice for them or shuffled.
+    Rows that repeat a doc_id, or have none, are judged each by its own text; an empty table gives an empty one."""
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
-    return with_statistics(inner, "_text").where(rules.kept()).select("_row.*")
+    wide = materialize(with_statistics(inner, "_text").drop("_text"), "judged-rows")
+    rules = learn(wide.select(F.col("_row.doc_id").alias("doc_id"), *[c for c in wide.columns if c != "_row"]), labels)
+    return wide.where(rules.kept()).select("_row.*")
