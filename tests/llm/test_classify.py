@@ -5,7 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from axiloom.llm import html_text, language, licences, quality, toxicity
+from axiloom.llm import html_text, language, quality, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -178,46 +178,6 @@ def test_html_survives_anything(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
-def test_licences(spark, make, corpus):
-    docs = make([*corpus, "first line\nLicensed under CC BY-NC 4.0.\nlast", "Released under the MIT License.\nReleased under the MIT License.", "a licence to kill, they said, and gave permission to nobody in particular"])
-    model = licences.fit(docs)
-    n = len(corpus)
-    rows = licences.scan(docs, model).collect()
-    assert sorted((r["doc_id"], r["start"], r["family"], r["confirmed"]) for r in rows if r["confirmed"]) == [(n, 11, "CC-BY-NC-4.0", True), (n + 1, 0, "MIT", True), (n + 1, 32, "MIT", True)]
-    for family, texts in licences.TEMPLATES.items():
-        for t in texts:
-            assert licences._HINT.search(t) and model.call(t)[0] == family
-    assert licences.scan(make([]), model).count() == 0
-
-
-def test_every_line_is_scored(spark, make, corpus):
-    """Wrapped templates and templates with words left out, most without a word that hints at a licence."""
-    rng = np.random.default_rng(8)
-    lines = ["Released under the BSD 3-Clause", "Released under the MIT", "GPL-3.0-or-later", "(at your option) any later version.", "", " - ", "İ of the work Σ"]
-    lines.append("to any person obtaining a copy of this software and associated documentation files")
-    for t in [t for ts in licences.TEMPLATES.values() for t in ts]:
-        ws = t.split()
-        for size in (3, 5, 8, 12):
-            lines += [" ".join(ws[k : k + size]) for k in range(0, len(ws), size)]
-        lines += [" ".join(w for w in ws if rng.random() > 0.2) for _ in range(4)]
-    texts = [*corpus, *("\n".join(lines[k : k + 7]) for k in range(0, len(lines), 7))]
-    model = licences.fit(make(corpus))
-    want = []
-    for k, t in enumerate(texts):
-        at = 0
-        for line in (t or "").split("\n"):
-            if (found := model.call(line)) is not None:
-                want.append((k, at, at + len(line), *found, found[2] >= licences.LEAST_SHARED))
-            at += len(line) + 1
-    assert sum(not licences._HINT.search(texts[k][a:b]) and sure for k, a, b, *_, sure in want) > 10
-    assert any(texts[k][a:b] == "to any person obtaining a copy of this software and associated documentation files" and sure for k, a, b, *_, sure in want)
-    assert sorted(map(tuple, licences.scan(make(texts), model).collect())) == want
-    many = licences._Lines(model)
-    words = [licences.words_of(x) for x in lines]
-    got = many.hopeful([many.words.get(w, 0) for ws in words for w in ws], list(map(len, words)))
-    assert got == [k for k, x in enumerate(lines) if model.call(x) is not None]
-
-
 def test_oracle_of_exact_dedup_is_the_contract(corpus):
     from axiloom.llm.queries import ORACLE_SQL
 
