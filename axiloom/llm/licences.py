@@ -10,7 +10,7 @@ from templates whole, in part and distorted, from units of the corpus that share
 sentences that speak of licences without being one. A temperature, fitted on examples held back from training,
 calibrates its probabilities.
 
-A paragraph that is no more likely unknown than a licence is reported with its likeliest family, that family's
+A paragraph that has two words in order as in a template, and is no more likely unknown than a licence, is reported with its likeliest family, that family's
 probability, and the share of a template's or of the paragraph's own 3-grams they have in common. The template confirms
 the family if enough is shared, no other family shares as much and as many, and nothing contradicts: no word that tells another family
 (such as lesser, affero, sharealike), and no version that the family's templates don't have.
@@ -251,8 +251,12 @@ class Classifier:
         hit = {k + j for k, g in enumerate(_grams(ws, 3)) if g in self.features for j in range(3)}
         return len(hit) / len(ws)
 
+    def worded(self, ws: list[str]) -> bool:
+        """Whether two words follow each other as in a template: single words say nothing."""
+        return any(g in self.features for g in _grams(ws, 2))
+
     def looks_like(self, ws: list[str]) -> bool:
-        return 1 - self.probabilities(ws)[self.families.index(UNKNOWN)] >= LEAST_LICENCE or self.covered(ws) >= LEAST_COVERED
+        return self.worded(ws) and (1 - self.probabilities(ws)[self.families.index(UNKNOWN)] >= LEAST_LICENCE or self.covered(ws) >= LEAST_COVERED)
 
     def shared(self, ws: list[str], family: str) -> tuple[float, int]:
         """The largest share of a template's or of the words' own 3-grams that they have in common, and how many are."""
@@ -266,7 +270,7 @@ class Classifier:
     def call(self, paragraph: str) -> tuple[str, float, float, bool] | None:
         """(family, probability, share in common with a template, confirmed), if the paragraph is a licence's."""
         ws = words_of(paragraph)
-        if not ws:
+        if not self.worded(ws):
             return None
         p = self.probabilities(ws)
         unknown = self.families.index(UNKNOWN)
@@ -348,7 +352,8 @@ class Many:
         for k in range(3):
             hit[k : k + len(triple)] |= triple > 0
         covered = np.bincount(unit[hit[: len(w)]], minlength=len(size)) / np.maximum(size, 1)
-        return (1 - unknown >= LEAST_LICENCE) | (covered >= LEAST_COVERED)
+        worded = np.bincount(unit[: len(pair)][pair > 0], minlength=len(size)) > 0
+        return worded & ((1 - unknown >= LEAST_LICENCE) | (covered >= LEAST_COVERED))
 
 
 def _examples(negatives: list[str], rng: np.random.Generator, texts: dict[str, list[str]], known: dict[str, Family]) -> list[tuple[list[str], int]]:
@@ -372,6 +377,7 @@ def _examples(negatives: list[str], rng: np.random.Generator, texts: dict[str, l
                     own = some(1, 6) + own if rng.random() < 0.5 else own + some(1, 6)
                 out.append((own, k))
     plain = sorted({w for ts in texts.values() for t in ts for w in words_of(t)})
+    out += [([w], unknown) for w in plain] + [([w, plain[int(rng.integers(0, len(plain)))]], unknown) for w in plain]
     for k in range(600):  # words of templates in no order, and filler
         out.append(([plain[i] for i in rng.integers(0, len(plain), rng.integers(1, 12))] if k % 2 else some(3, 30), unknown))
     near = [words_of(t) for t in NEAR_MISSES]
