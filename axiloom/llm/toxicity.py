@@ -8,28 +8,32 @@ Forward-backward gives each word's marginal. Words over one half form the spans;
 toxic words and their share, calibrated on texts held back, make the document's score.
 
 Defined results: texts without words (null, empty, blank) get the score of a text without evidence; without training
-rows of both classes every score is the share of toxic ones, or 0.
+rows of both classes every score is the share of toxic ones, or 0; a text of any length is scored whole; rows that repeat
+a doc_id, or have none, are scored each; of rows with equal texts, the label of one is used, toxic if any is; a doc_id
+with several marks is fitted with each; an empty table gives no rows; other columns are left alone.
 
-Fitting uses a sample of at most about PER_CLASS texts of each class, whole texts each.
+Fitting uses a sample of at most about PER_CLASS texts of each class, whole texts each, and of the windows they give at
+most about WINDOWS; both are chosen by a hash over all labelled rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axiloom.llm.common import map_arrow
+from axiloom.llm.common import map_arrow, materialize, release
 from axiloom.llm.sampling import sample_by_class
 
-PER_CLASS, AROUND, LEAST_PLACES, ROUNDS = 1500, 8, 5, 120
-#: Every so many-th text of the sample trains no weights but calibrates the scores.
+PER_CLASS, WINDOWS, AROUND, LEAST_PLACES, ROUNDS = 1500, 12_000, 8, 5, 120
+#: One in so many texts of the sample trains no weights but calibrates the scores.
 HELD_BACK = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EDGE = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -177,109 +181,135 @@ def evidence(logits: np.ndarray) -> np.ndarray:
     return np.array([max(-12.0, min(12.0, float(logits.max()))), np.log1p(p.sum()), np.log1p(100 * p.mean())])
 
 
-def _toxic_units(texts: list[tuple[int, list[bytes]]]) -> set[str]:
+def _text_id(text: Column) -> Column:
+    """A number of its own for each text, whatever its rows: it orders texts and decides which are held back."""
+    return F.xxhash64(F.lit("toxicity"), text)
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """(y, unit, around, id): the units of each text (y, text, id) and the surroundings they stand in, each once."""
+
+    def run(batches):
+        names = ["y", "unit", "around", "id"]
+        for b in batches:
+            for y, text, ident in zip(*(c.to_pylist() for c in b.columns)):
+                ws = tokens(text)
+                found = {(w, xxhash.xxh64_intdigest(a + b" " + c) >> 1) for a, w, c in zip([b"", *ws[:-1]], ws, [*ws[1:], b""]) if w}
+                rows = {(u, around) for w, around in found for u in units(w)}
+                if rows:
+                    u, around = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(y, pa.int32()), len(u)), pa.array(u, pa.string()), pa.array(around, pa.int64()), pa.repeat(pa.scalar(ident, pa.int64()), len(u))], names)
+
+    return map_arrow(texts.select("y", "text", "id"), run, "y int, unit string, around long, id long")
+
+
+def toxic_units(texts: DataFrame) -> set[str]:
     """Units that stand in new surroundings in text after toxic text, and in next to none of the others.
 
-    A text counts once for a unit, and only if it has it in surroundings that no earlier text had. A unit must count so
-    often that among as many units as there are, chance would hardly bring forth one by itself.
+    A text counts once for a unit, and only if it has it in surroundings that no earlier text of its class had. A unit
+    must count so often that among as many units as there are, chance would hardly bring forth one by itself. All of it
+    is counted on the executors; the driver gets the units that pass.
     """
-    seen: list[dict[str, set]] = [defaultdict(set), defaultdict(set)]
-    count: list[dict[str, int]] = [defaultdict(int), defaultdict(int)]
-    memo: dict[bytes, list[str]] = {}
-
-    def read(y: int, ws: list[bytes], only: set[str]) -> None:
-        own = defaultdict(set)
-        for a, w, b in zip([b"", *ws[:-1]], ws, [*ws[1:], b""]):
-            if w:
-                if w not in memo:
-                    memo[w] = [u for u in units(w) if u in only]
-                for u in memo[w]:
-                    own[u].add(hash((a, b)))
-        for u, s in own.items():
-            if not s <= seen[y][u]:
-                count[y][u] += 1
-                if len(seen[y][u]) < 200:
-                    seen[y][u] |= s
-
-    # only units of several toxic texts can be evidence; surroundings are kept of those alone
-    texts_with: dict[str, int] = defaultdict(int)
-    for y, ws in texts:
-        if y:
-            for u in {u for w in set(ws) if w for u in units(w)}:
-                texts_with[u] += 1
-    hopeful = {u for u, n in texts_with.items() if n >= LEAST_PLACES}
-    vast = len(texts_with)
-    del texts_with
-    for y, ws in texts:
-        read(y, ws, hopeful)
-    bad, good = (sum(y == k for y, _ in texts) for k in (1, 0))
+    size = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return set()
+    places = materialize(_places(texts), "places")
+    often = places.where("y = 1").groupBy("unit").agg(F.count_distinct("id").alias("n"))
+    vast, few = often.count(), often.where(F.col("n") >= LEAST_PLACES).select("unit")
+    first = places.join(few, "unit").groupBy("y", "unit", "around").agg(F.min("id").alias("id"))
+    counts = first.groupBy("unit").agg(*[F.count_distinct(F.when(F.col("y") == k, F.col("id"))).alias(f"n{k}") for k in (0, 1)])
     least = max(LEAST_PLACES, math.log(20 * (vast + 1)) / -math.log(bad / (bad + good)))
-    return {w for w, n in count[1].items() if n >= least and n * good >= 20 * bad * count[0].get(w, 0)}
-
-
-def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Tagger:
+    found = {r["unit"] for r in counts.where((F.col("n1") >= least) & (F.col("n1") * good >= 20 * bad * F.col("n0"))).select("unit").collect()}
+    release(places)
+    return found
+
+
+def windows_of(y: int, ident: int, ws: list[bytes], bad: set[str]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Stretches of a text to train on, with their labels: around all its words that look toxic, once where they meet,
+    and in a clean text around one place that follows from its number. Long ones are cut."""
+    alike = [any(u in bad for u in units(w)) if w else False for w in ws]
+    at = [i for i, x in enumerate(alike) if x] + ([] if y or not ws else [ident % len(ws)])
+    inside = np.zeros(len(ws), bool)
+    for i in at:
+        inside[max(0, i - AROUND) : i + AROUND + 1] = True
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
+    for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        for k in range(start, end, 2 * AROUND + 1):
+            part = slice(k, min(end, k + 2 * AROUND + 1))
+            yield ws[part], [int(y and x) for x in alike[part]]
+
+
+def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS, most_windows: int = WINDOWS) -> Tagger:
     """Fit on docs (doc_id, text) whose doc_id has a mark (doc_id, toxic 0 or 1), or on a sample of the marks.
 
     The sample is drawn from the marks, so that only its texts meet them: a join with a side of at most a few thousand
-    rows, checked here by the sample's bound.
+    rows, checked here by the sample's bound. Texts stay on the executors; the driver gets toxic units, windows and what
+    the scores of the texts held back are made of.
     """
     few = sample_by_class(marks.where("toxic in (0, 1)"), "toxic", F.col("doc_id"), per_class)
-    chosen = docs.join(F.broadcast(few), "doc_id").select("toxic", F.col("text").cast("binary").alias("text"), "doc_id")
-    # in a fixed order, and each text once
-    texts: dict[bytes, int] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)):
-        texts[bytes(r["text"] or b"")] = max(r["toxic"], texts.get(bytes(r["text"] or b""), 0))
-    return _fit([(y, tokens(t)) for t, y in texts.items()])
+    chosen = docs.join(F.broadcast(few), "doc_id").select("toxic", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = chosen.groupBy("text").agg(F.max("toxic").cast("int").alias("y")).withColumn("id", _text_id(F.col("text")))
+    texts = materialize(once.repartition(parts, "id"), "labelled-texts")
+    bad = toxic_units(texts)
+    held = F.pmod("id", F.lit(HELD_BACK)) == 0
+    model = _fitted(texts.where(~held), bad, most_windows)
+    share = texts.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0]
+    if not bad or not 0 < share < 1:
+        model.offset = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    else:
+        _calibrate(model, texts.where(held))
+    release(texts)
+    return model
 
 
-def _fit(texts: list[tuple[int, list[bytes]]]) -> Tagger:
-    bad = _toxic_units(texts)
-    toxic: dict[bytes, bool] = {}
+def _fitted(texts: DataFrame, bad: set[str], most: int) -> Tagger:
+    """A tagger trained on at most about ``most`` windows of the texts, chosen by their place."""
 
-    def is_toxic(w: bytes) -> bool:
-        if w not in toxic:
-            toxic[w] = bool(w) and any(u in bad for u in units(w))
-        return toxic[w]
+    def run(batches):
+        for b in batches:
+            for y, text, ident in zip(*(c.to_pylist() for c in b.columns)):
+                found = [(xxhash.xxh64_intdigest(f"{ident} {k}") >> 2, ws, m) for k, (ws, m) in enumerate(windows_of(y, ident, tokens(text), bad))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32())))], ["at", "words", "marks"])
 
     windows: list[tuple[list[bytes], list[int]]] = []
-    for k, (y, ws) in enumerate(texts):
-        if k % HELD_BACK == 0 and len(texts) > 40:
-            continue
-        marks = [int(y and is_toxic(w)) for w in ws]
-        hits = [i for i, m in enumerate(marks) if m]
-        for i in hits[:6]:
-            windows.append((ws[max(0, i - AROUND) : i + AROUND + 1], marks[max(0, i - AROUND) : i + AROUND + 1]))
-        if not y and ws:
-            # a stretch of a clean text, at a place that follows from its number, and those that look toxic
-            for i in [(k * 7919) % len(ws), *[i for i, w in enumerate(ws) if is_toxic(w)][:3]]:
-                windows.append((ws[max(0, i - AROUND) : i + AROUND + 1], marks[max(0, i - AROUND) : i + AROUND + 1]))
+    if bad:
+        all_ = materialize(map_arrow(texts.select("y", "text", "id"), run, "at long, words array<binary>, marks array<int>"), "windows")
+        limit = int(min(1.0, most / max(1, all_.count())) * (1 << 62))
+        windows = [([bytes(w) for w in r["words"]], list(r["marks"])) for r in sorted(all_.where(F.col("at") <= limit).collect(), key=lambda r: r["at"])]
+        release(all_)
     vocabulary = sorted({w for ws, _ in windows for w in ws})
     known = {u: i for i, u in enumerate(sorted({u for w in vocabulary if w for u in units(w)}), 1)}
     words = {w: i for i, w in enumerate(vocabulary, 1)}
     model = Tagger(known, np.zeros(len(known) + 1), words, np.zeros((2, len(words) + 1)), -4.0, np.zeros((2, 2)), 0.0)
-    if windows and bad:
+    if windows:
         _train(model, windows)
-    share = sum(y for y, _ in texts) / max(1, len(texts))
-    if not bad or not 0 < share < 1:
-        model.offset = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-        return model
-    held = [t for k, t in enumerate(texts) if k % HELD_BACK == 0]
-    logits = []
-    for k in range(0, len(held), 64):
-        logits += model.logits([ws for _, ws in held[k : k + 64]])
-    x, y = np.array([evidence(v) for v in logits]), np.array([y for y, _ in held])
+    return model
+
+
+def _calibrate(model: Tagger, held: DataFrame) -> None:
+    """Fit the weights of what a score is made of, none below zero, on texts that trained nothing else."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            found = shared.value.logits([tokens(t) for t in b.column(1).to_pylist()])
+            x = np.array([evidence(v) for v in found]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in x.T)], ["y", "a", "b", "c"])
+
+    rows = sorted(tuple(r) for r in map_arrow(held.select("y", "text"), run, "y int, a double, b double, c double").collect())
+    y, x = np.array([r[0] for r in rows], float), np.array([r[1:] for r in rows], float).reshape(-1, 3)
     if not 0 < y.sum() < len(y):
         model.slope, model.offset = np.array([1.0, 0.0, 0.0]), 0.0
-        return model
+        return
     mean, width = x.mean(axis=0), x.std(axis=0) + 1e-9
     z, a, b = (x - mean) / width, np.zeros(3), 0.0
     for _ in range(3000):
         g = 1 / (1 + np.exp(-(z @ a + b))) - y
         a, b = np.maximum(0.0, a - 0.3 * (z.T @ g / len(y) + 1e-3 * a)), b - 0.3 * g.mean()
     model.slope, model.offset = a / width, float(b - (a * mean / width).sum())
-    return model
 
 
 def _train(model: Tagger, windows: list[tuple[list[bytes], list[int]]]) -> None:
