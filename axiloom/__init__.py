@@ -7,7 +7,7 @@ varies; an Evaluation plans DataFrames and nothing runs until a frame or an arra
 
 from axiloom.axes import DOMAIN, ENSEMBLE, PARAMETER, TIME, Axis, AxisRole
 from axiloom.functions.distributions import Distribution
-from axiloom.functions.registry import Function, adapt
+from axiloom.functions.registry import Function, Functor, LambdaAdapter, adapt
 from axiloom.index import (
     CategoricalIndex,
     ConditionalCategoricalIndex,
@@ -24,14 +24,27 @@ from axiloom.model import AbstractIndexNotInInputsWarning, InputsContractWarning
 from axiloom.operators.evaluate import Evaluation, EvaluationPlan, EvaluationResult, Region, RegionGuard
 from axiloom.plans.expr import HasNode, Node
 from axiloom.scenario import Scenario
-from axiloom.sources.ensembles import CrossProductEnsemble, DistributionEnsemble, EnsembleAxisSpec, FrameEnsemble, PartitionedEnsemble, RowsEnsemble, WeightedScenario, sample_across
+from axiloom.sources.ensembles import (
+    AxisEnsemble,
+    CrossProductEnsemble,
+    DistributionEnsemble,
+    Ensemble,
+    EnsembleAxisSpec,
+    FrameEnsemble,
+    PartitionedEnsemble,
+    RowsEnsemble,
+    SideBySide,
+    WeightedScenario,
+    sample_across,
+    sample_frame,
+)
 from axiloom.sources.frames import BoundFrame
 from axiloom.streaming.handles import AsyncEvaluationHandle, EvaluationHandle
 
 __all__ = [
-    "DOMAIN", "ENSEMBLE", "PARAMETER", "TIME", "AbstractIndexNotInInputsWarning", "AsyncEvaluationHandle", "Axis", "AxisRole", "BoundFrame",
+    "DOMAIN", "ENSEMBLE", "PARAMETER", "TIME", "AbstractIndexNotInInputsWarning", "AsyncEvaluationHandle", "Axis", "AxisEnsemble", "AxisRole", "BoundFrame",
     "CategoricalIndex", "ConditionalCategoricalIndex", "ConditionalDistributionIndex", "ConstIndex", "ConstTimeseriesIndex", "CrossProductEnsemble",
-    "Distribution", "DistributionEnsemble", "DistributionIndex", "DomainValue", "EnsembleAxisSpec", "Evaluation", "EvaluationHandle", "EvaluationPlan",
-    "EvaluationResult", "FrameEnsemble", "Function", "GenericIndex", "HasNode", "IOProxy", "Index", "InputsContractWarning", "Model", "ModelContractWarning",
-    "ModelVariant", "Node", "PartitionedEnsemble", "Region", "RegionGuard", "RowsEnsemble", "Scenario", "TimeseriesIndex", "WeightedScenario", "adapt", "sample_across",
+    "Distribution", "DistributionEnsemble", "DistributionIndex", "DomainValue", "Ensemble", "EnsembleAxisSpec", "Evaluation", "EvaluationHandle", "EvaluationPlan",
+    "EvaluationResult", "FrameEnsemble", "Function", "Functor", "GenericIndex", "HasNode", "IOProxy", "Index", "InputsContractWarning", "LambdaAdapter", "Model", "ModelContractWarning",
+    "ModelVariant", "Node", "PartitionedEnsemble", "Region", "RegionGuard", "RowsEnsemble", "Scenario", "SideBySide", "TimeseriesIndex", "WeightedScenario", "adapt", "sample_across", "sample_frame",
 ]

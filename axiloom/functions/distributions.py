@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any, Protocol, runtime_checkable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -259,43 +260,71 @@ def truncnorm(a: float, b: float, loc: float = 0.0, scale: float = 1.0) -> Trunc
     return TruncatedNormal(a, b, loc, scale)
 
 
-def poisson_cdf(k: Any, mu: Any):
+def _on_batches(f: Callable[[np.ndarray], Any], x: Column) -> Column:
+    return F.pandas_udf(lambda s: pd.Series(np.asarray(f(s.to_numpy(float)), float)), "double")(x)
+
+
+def _on_column(f: Callable[[Any], Any], x: Column) -> Column:
+    """f(x) as a Column if f is written for them, else on Arrow batches: a distribution may know arrays only."""
+    try:
+        out = f(x)
+        if isinstance(out, Column):
+            return out
+    except Exception:  # whatever array code makes of a Column
+        pass
+    return _on_batches(f, x)
+
+
+def column_ppf(d: Any, u: Column) -> Column:
+    return _on_column(d.ppf, u)
+
+
+def column_cdf(d: Any, x: Column) -> Column:
+    return _on_column(d.cdf, x)
+
+
+def poisson_cdf(k: Any, mu: Any) -> np.ndarray:
     """P(X <= k) for a Poisson mean mu, on arrays: the regularised upper incomplete gamma function, by the series below
-    mu < k + 2 and by the continued fraction above."""
+    mu < k + 2 and by the continued fraction above, all elements at once until each has settled."""
     k, mu = np.broadcast_arrays(np.floor(np.asarray(k, float)), np.asarray(mu, float))
-    out = np.empty(k.shape)
-    for i, (a, x) in enumerate(zip((k + 1).ravel(), mu.ravel())):
-        out.flat[i] = _upper_gamma(a, x)
-    return out
+    a, x = (k + 1).ravel(), mu.ravel().astype(float)
+    out = np.where(np.isnan(a) | np.isnan(x), math.nan, np.where(a <= 0, 0.0, 1.0))
+    inside = (a > 0) & (x > 0)
+    for some, f in ((inside & (x < a + 1), _lower_series), (inside & (x >= a + 1), _upper_fraction)):
+        if some.any():
+            front = np.exp(a[some] * np.log(x[some]) - x[some] - _log_gamma(a[some]))
+            out[some] = f(a[some], x[some], front)
+    return out.reshape(k.shape)
 
 
-def _upper_gamma(a: float, x: float) -> float:
-    if math.isnan(a) or math.isnan(x):
-        return math.nan
-    if a <= 0:
-        return 0.0
-    if x <= 0:
-        return 1.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > abs(total) * 1e-16:
-            n += 1
-            term *= x / n
-            total += term
-        return 1 - front * total
+def _log_gamma(a: np.ndarray) -> np.ndarray:
+    values, at = np.unique(a, return_inverse=True)
+    return np.array([math.lgamma(v) for v in values])[at]
+
+
+def _lower_series(a: np.ndarray, x: np.ndarray, front: np.ndarray) -> np.ndarray:
+    term = total = 1 / a
+    n = a
+    while (term > total * 1e-17).any():
+        n = n + 1
+        term = term * x / n
+        total = total + term
+    return 1 - front * total
+
+
+def _upper_fraction(a: np.ndarray, x: np.ndarray, front: np.ndarray) -> np.ndarray:
+    tiny = 1e-300
     b = x + 1 - a
-    c, d = 1e300, 1 / b
+    c, d = np.full(a.shape, 1e300), 1 / b
     h = d
     for i in range(1, 10_000):
         an = -i * (i - a)
-        b += 2
+        b = b + 2
         d = an * d + b
-        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-        c = b + an / (c if abs(c) > 1e-300 else 1e-300)
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
+        d = 1 / np.where(np.abs(d) > tiny, d, tiny)
+        c = b + an / np.where(np.abs(c) > tiny, c, tiny)
+        h = h * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
             break
     return front * h
 

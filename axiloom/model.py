@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import inspect
 import warnings
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from typing import Any
@@ -40,6 +41,23 @@ def _once(items: Iterable[GenericIndex]) -> list[GenericIndex]:
     return list({id(i): i for i in items}.values())
 
 
+def _indexes_given(cls: type, self: Any, args: tuple, kwargs: dict[str, Any]) -> dict[str, GenericIndex]:
+    """The indexes among the arguments of a model's constructor, alone or in lists and dicts, by where they stand."""
+    try:
+        bound = inspect.signature(cls.__init__).bind(self, *args, **kwargs).arguments
+    except TypeError:  # the constructor itself will tell
+        return {}
+    out: dict[str, GenericIndex] = {}
+    for k, v in list(bound.items())[1:]:
+        if isinstance(v, GenericIndex):
+            out[k] = v
+        elif isinstance(v, (list, tuple)):
+            out |= {f"{k}[{n}]": x for n, x in enumerate(v) if isinstance(x, GenericIndex)}
+        elif isinstance(v, Mapping):
+            out |= {f"{k}[{n!r}]": x for n, x in v.items() if isinstance(x, GenericIndex)}
+    return out
+
+
 class IOProxy:
     """Read-only view of a contract's fields. Iterates over indexes; ``in`` is by identity."""
 
@@ -81,18 +99,47 @@ class Model:
     """A named bundle of indexes. ``inputs``, ``outputs`` and ``expose`` are dataclasses or mappings of indexes, or of
     lists or dicts of them; ``indexes`` gives a flat list without a contract (deprecated)."""
 
+    def __new__(cls, *args: Any, **kwargs: Any) -> "Model":
+        self = super().__new__(cls)
+        self.__dict__["_given"] = _indexes_given(cls, self, args, kwargs) if cls is not Model else {}
+        return self
+
     def __init__(self, name: str, indexes: Sequence[GenericIndex] | None = None, *, inputs: Any = None, outputs: Any = None, expose: Any = None):
         self.name = name
         if indexes is not None:
-            if inputs is not None or outputs is not None or expose is not None:
-                raise ValueError("give either indexes or a contract")
             warnings.warn("Model(name, indexes) is deprecated; declare inputs and outputs", DeprecationWarning, stacklevel=2)
+            if expose is not None or any(x is not None and not isinstance(x, (list, tuple)) for x in (inputs, outputs)):
+                raise ValueError("give either indexes, with lists of inputs and outputs, or a contract")
+            self._listed: list[GenericIndex] | None = list(indexes)
+            self.inputs, self.outputs = (IOProxy(self._by_attribute(label, declared or ())) for label, declared in (("inputs", inputs), ("outputs", outputs)))
+            self.expose = IOProxy()
+            return
+        self._listed = None
         self.inputs, self.outputs, self.expose = IOProxy(inputs), IOProxy(outputs), IOProxy(expose)
-        self._listed = list(indexes) if indexes is not None else None
-        if self._listed is None:
-            for i in self.indexes:
-                if i.is_abstract() and i not in self.inputs:
-                    warnings.warn(f"model {name!r}: abstract index {i.name!r} is not among its inputs", AbstractIndexNotInInputsWarning, stacklevel=2)
+        for where, i in self._given.items():
+            if i not in self.inputs:
+                warnings.warn(f"{type(self).__name__}: argument {where!r} is index {i.name!r}, which is not among the inputs", InputsContractWarning, stacklevel=3)
+        for i in self.indexes:
+            if i.is_abstract() and i not in self.inputs:
+                warnings.warn(f"model {name!r}: abstract index {i.name!r} is not among its inputs", AbstractIndexNotInInputsWarning, stacklevel=2)
+
+    def _by_attribute(self, label: str, declared: Sequence[GenericIndex]) -> dict[str, GenericIndex]:
+        """The declared indexes of a flat list by the attribute that holds each."""
+        names: dict[int, str] = {}
+        for k, v in vars(self).items():
+            if isinstance(v, GenericIndex):
+                names.setdefault(id(v), k)
+        out: dict[str, GenericIndex] = {}
+        for i in declared:
+            said = f"model {self.name!r}: {label}: index {i.name!r}"
+            if not any(i is x for x in self._listed or ()):
+                raise ValueError(f"{said} is not in the model's indexes list")
+            if id(i) not in names:
+                raise ValueError(f"{said} is not assigned to any attribute of the model; do so before super().__init__()")
+            if names[id(i)] in out:
+                raise ValueError(f"{said} is declared twice: a collision of the attribute name {names[id(i)]!r}")
+            out[names[id(i)]] = i
+        return out
 
     @property
     def indexes(self) -> list[GenericIndex]:

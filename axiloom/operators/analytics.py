@@ -10,16 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from axiloom.functions.distributions import Distribution, poisson_cdf, student_ppf
+from axiloom.functions.distributions import Distribution, column_cdf, poisson_cdf, student_ppf
 
 
 def satisfaction(usage: Column, capacity: Distribution | Column | float) -> Column:
     """The probability that usage stays within capacity: 1 - cdf for a distribution, else 1 or 0."""
     if hasattr(capacity, "cdf"):
-        out = capacity.cdf(usage)
-        if not isinstance(out, Column):
-            raise TypeError("the distribution's cdf takes no columns")
-        return F.lit(1.0) - out
+        return F.lit(1.0) - column_cdf(capacity, usage)
     return (usage <= capacity).cast("double")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import inspect
 import os
+import sys
 import warnings
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -17,8 +18,8 @@ from axiloom.axes import ENSEMBLE, PARAMETER, TIME, Axis, layout
 from axiloom.errors import NodeValueNotFound
 from axiloom.functions.numeric import kind_of
 from axiloom.functions.registry import Function, adapt
-from axiloom.index import ConstIndex, ConstTimeseriesIndex, GenericIndex
-from axiloom.plans.expr import Node, as_node, linearize
+from axiloom.index import CategoricalIndex, ConstIndex, ConstTimeseriesIndex, GenericIndex
+from axiloom.plans.expr import LEAVES, Node, as_node, constant, linearize
 from axiloom.plans.lower import Binding, Lowering
 from axiloom.scenario import Scenario
 from axiloom.sources.ensembles import RowsEnsemble
@@ -54,7 +55,7 @@ def region_plan(nodes: Sequence[Node], roots: Sequence[Any]) -> EvaluationPlan:
     """Shared nodes, the branches of the one selector, and what follows their meeting."""
     selectors = [n for n in nodes if n.op == "variant_selector"]
     if not selectors:
-        raise ValueError("a regional plan needs a variant chosen at run time")
+        raise ValueError("No variant_selector found: a regional plan needs a variant chosen at run time")
     if len(selectors) > 1:
         raise NotImplementedError("a regional plan has one selector")
     (selector,) = selectors
@@ -90,6 +91,22 @@ class EvaluationResult:
         """Key columns, weights of ensembles, and ``value``."""
         return self._of(what)[1]
 
+    def persist(self, nodes: Iterable[Any], level: Any) -> None:
+        """Keep the frames that hold the nodes' values, once they are computed."""
+        wanted = {(p.depth, p.axes) for n in nodes if (p := self.lowering.placed[as_node(n).id]).literal is None}
+        self._kept = {g: self.lowering.frames[g].persist(level) for g in wanted}
+        self.lowering.frames.update(self._kept)
+
+    def compute(self) -> None:
+        """Compute what is to be kept, now."""
+        for df in getattr(self, "_kept", {}).values():
+            df.write.format("noop").mode("overwrite").save()
+
+    def unpersist(self) -> None:
+        for df in getattr(self, "_kept", {}).values():
+            df.unpersist()
+
+
     def _of(self, what: Any) -> tuple[list[Axis], DataFrame]:
         n = as_node(what)
         if n.id not in self.lowering.placed:
@@ -104,6 +121,8 @@ class EvaluationResult:
             df.show(10)
         if "dump" in flags:
             df.explain("formatted")
+        if "break" in flags or "break" in n.flags:
+            sys.breakpointhook()
         return axes, df
 
     def table(self, **named: Any) -> DataFrame:
@@ -181,6 +200,60 @@ class EvaluationResult:
         return self.expected_value(what)
 
 
+class RegionalResult(EvaluationResult):
+    """Values of a model whose selector picks a branch per scenario: each branch is evaluated on its own scenarios only,
+    in a lowering in which the choices are that branch's outputs, and the frames are put together. ``lowering`` is that
+    of the whole model, which tells on which axes values vary but gives only what does not depend on the scenario."""
+
+    def __init__(self, whole: EvaluationResult, axis: Axis, branches: list[EvaluationResult]):
+        super().__init__(whole.lowering, whole.axes, whole.tables, whole.parameter_values, whole.named_axis_values, whole.weights_by_axis, whole._sizes)
+        self._axis, self._branches = axis, branches
+
+    def persist(self, nodes: Iterable[Any], level: Any) -> None:
+        for b in self._branches:
+            b.persist([n for n in nodes if as_node(n).id in b.lowering.placed], level)
+
+    def compute(self) -> None:
+        for b in self._branches:
+            b.compute()
+
+    def unpersist(self) -> None:
+        for b in self._branches:
+            b.unpersist()
+
+    def _of(self, what: Any) -> tuple[list[Axis], DataFrame]:
+        n = as_node(what)
+        if n.id not in self.lowering.placed:
+            raise NodeValueNotFound(getattr(what, "name", "") or f"n{n.id}")
+        p = self.lowering.placed[n.id]
+        if self._axis not in p.axes:
+            return super()._of(what)
+        axes = layout(sorted(p.axes))
+        return axes, self._union([self._branch(b, axes, {"value": n}) for b in self._branches])
+
+    def table(self, **named: Any) -> DataFrame:
+        axes = {a for what in named.values() for a in self.lowering.placed[as_node(what).id].axes}
+        if self._axis not in axes:
+            return super().table(**named)
+        return self._union([self._branch(b, layout(sorted(axes)), {k: as_node(v) for k, v in named.items()}) for b in self._branches])
+
+    def _branch(self, b: EvaluationResult, axes: list[Axis], named: dict[str, Node]) -> DataFrame:
+        """Keys and values on one branch's scenarios. What belongs to another branch has no value here."""
+        known = {k: n for k, n in named.items() if n.id in b.lowering.placed}
+        df = b.table(**known)
+        for a in axes:
+            if a.key not in df.columns:  # the branch does not vary along it, but others do
+                df = df.crossJoin(b.tables[a].df.select(*b.lowering._keys(frozenset([a]))))
+        other = {k: F.lit(None if self.lowering.placed[n.id].kind == "str" else float("nan")).alias(k) for k, n in named.items() if k not in known}
+        return df.select(*self.lowering._keys(frozenset(axes)), *[other.get(k, F.col(k)) for k in named])
+
+    def _union(self, parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+
 def _product(names: Sequence[str]) -> Column:
     out = F.col(names[0])
     for n in names[1:]:
@@ -189,16 +262,21 @@ def _product(names: Sequence[str]) -> Column:
 
 
 def _as_array(axes: Sequence[Axis], df: DataFrame, full: Sequence[Axis]) -> np.ndarray:
-    rows = df.collect()
+    """Rows as an array: they come by Arrow, in columns, and each is put where its keys' ranks say."""
+    got = df.toPandas()
     axes = [a for a in full if a in axes]
-    keys = [sorted({r[a.key] for r in rows}) for a in axes]
-    where = [{k: i for i, k in enumerate(v)} for v in keys]
-    values = [r["value"] for r in rows]
-    text = any(isinstance(v, str) for v in values)
-    out = np.empty([len(k) for k in keys], dtype=object if text else np.array(values).dtype if values else float)
-    for r, v in zip(rows, values):
-        out[tuple(w[r[a.key]] for a, w in zip(axes, where))] = v
-    return out.reshape([len(keys[axes.index(a)]) if a in axes else 1 for a in full])
+    ranks, sizes = [], []
+    for a in axes:
+        keys, at = np.unique(got[a.key].to_numpy(), return_inverse=True)
+        ranks.append(at)
+        sizes.append(len(keys))
+    values = got["value"].to_numpy()
+    text = got["value"].dtype == object and any(isinstance(v, str) for v in values[:1])
+    if values.dtype == object and not text:
+        values = np.array(values.tolist())
+    out = np.empty(sizes, dtype=object if text else values.dtype)
+    out[tuple(ranks)] = values if axes else values[0]
+    return out.reshape([sizes[axes.index(a)] if a in axes else 1 for a in full])
 
 
 class Evaluation:
@@ -219,8 +297,8 @@ class Evaluation:
             raise ValueError(f"unknown strategy {strategy!r}")
         return EvaluationPlan(tuple(roots), (Region(0, tuple(nodes)),))
 
-    def evaluate(self, nodes_of_interest: Iterable[Any] | None = None, **kwargs: Any) -> EvaluationResult:
-        return self.execute_plan(self.build_plan(nodes_of_interest), **kwargs)
+    def evaluate(self, nodes_of_interest: Iterable[Any] | None = None, strategy: str = "monolithic", **kwargs: Any) -> EvaluationResult:
+        return self.execute_plan(self.build_plan(nodes_of_interest, strategy), **kwargs)
 
     def evaluate_incremental(self, size: int, nodes_of_interest: Iterable[Any] | None = None, **kwargs: Any) -> Any:
         """A handle on ``size`` scenarios that extend(n) adds to; see axiloom.streaming.handles."""
@@ -244,14 +322,20 @@ class Evaluation:
         frames: Mapping[Any, BoundFrame] | None = None,
         functions: Mapping[str, Callable[..., Any] | Function] | None = None,
         spark: SparkSession | None = None,
+        axes: Mapping[Any, Any] | None = None,
     ) -> EvaluationResult:
         spark = spark or session()
+        if axes is not None:
+            warnings.warn("axes= is deprecated; use parameters=", DeprecationWarning, stacklevel=3)
+            if parameters is not None:
+                raise ValueError("give either parameters= or axes=")
+            parameters = axes
         parameters, frames = dict(parameters or {}), dict(frames or {})
         if ensemble is not None and not hasattr(ensemble, "tables"):
             ensemble = RowsEnsemble(ensemble)
         b = Binding(functions={k: adapt(f) for k, f in (functions or {}).items()})
         named = {k: np.asarray(v) for k, v in (parameter_axes or {}).items()}
-        axes: list[Axis] = []
+        axes = []
         result = EvaluationResult(None, axes, b.tables, {}, named)  # type: ignore[arg-type]
         for name, values in named.items():
             axis = Axis(name, PARAMETER)
@@ -300,6 +384,8 @@ class Evaluation:
         if len(lengths) > 1:
             raise ValueError(f"series of different lengths: {sorted(lengths)}")
         result.lowering = Lowering(spark, roots, b)
+        if plan.strategy == "regional":
+            result = self._by_region(spark, plan, ensemble, result, b, roots)
         if any(TIME in p.axes for p in result.lowering.placed.values()) or any(TIME in f.keys for f in frames.values()):
             axes.append(TIME)
             if lengths:
@@ -311,6 +397,56 @@ class Evaluation:
         axes += [a for a in layout(a for f in frames.values() for a in f.keys) if a not in known]
         return result
 
+    def _by_region(self, spark: SparkSession, plan: EvaluationPlan, ensemble: Any, whole: EvaluationResult, b: Binding, roots: list[Node]) -> EvaluationResult:
+        """The same values, with each branch's nodes lowered on the scenarios that the selector gives it."""
+        selector = next(r.guard.selector for r in plan.regions if r.guard is not None)
+        if ensemble is None or len(ensemble.ensemble_axes) != 1:
+            raise NotImplementedError("a regional plan needs an ensemble with just one axis; use strategy='monolithic'")
+        (axis,) = ensemble.ensemble_axes
+        varies = whole.lowering.placed[selector.id].axes
+        if any(a.role == PARAMETER for a in varies):
+            raise NotImplementedError("a regional plan's selector must not vary along PARAMETER axes; use strategy='monolithic'")
+        if not varies <= {axis}:
+            raise NotImplementedError("a regional plan's selector varies along the ensemble's axis only; use strategy='monolithic'")
+        (choice,) = [n for n in linearize(roots) if n.op == "variant_selector"]
+        table = b.tables[axis]
+        # the selector beside all that the ensemble gives: one frame, whose rows are then told apart
+        own = Lowering(spark, [selector, *(n for n in linearize(roots) if n.id in table.columns)], b)
+        key, at = own._value(selector)[0], own.placed[selector.id]
+        frame, names = table.df, table.columns
+        if at.literal is None and at.depth == 0:
+            frame = own.frames[(at.depth, at.axes)]
+            names = {k: f"n{k}" for k in table.columns if f"n{k}" in frame.columns}
+
+        def rows(condition: Column) -> DataFrame:
+            if at.literal is not None or at.depth == 0:
+                return frame.where(condition)
+            return frame.join(own.frames[(at.depth, at.axes)].where(condition).select(axis.key), axis.key, "left_semi")
+
+        keys = list(choice.params["branches"])
+        results = []
+        for k in [*keys, None]:
+            if k is None:
+                if isinstance(getattr(self.scenario.model, "selector", None), CategoricalIndex):
+                    continue  # its keys all have a branch
+                some = rows(~F.coalesce(key.isin(keys), F.lit(False)))
+                alias = {m.id: constant(float("nan")) for m in choice.params["merged"]}
+            else:
+                some = rows(key == k)
+                alias = {m.id: m.args[2 * keys.index(k) + 1] for m in choice.params["merged"]}
+            part = replace(b, tables={**b.tables, axis: AxisTable(axis, some, names, table.kinds, table.weight)})
+            mine = [r for r in roots if r.id not in self._foreign(choice, k, roots)]
+            results.append(EvaluationResult(Lowering(spark, mine, part, alias), whole.axes, part.tables))
+        return RegionalResult(whole, axis, results)
+
+    @staticmethod
+    def _foreign(choice: Node, key: str | None, roots: list[Node]) -> set[int]:
+        """The roots that belong to other branches alone."""
+        shared = {n.id for n in linearize([choice.args[0]])}
+        own = {n.id for n in linearize(choice.params["branches"].get(key, []))} if key is not None else set()
+        other = {n.id for k, outs in choice.params["branches"].items() if k != key for n in linearize(outs)}
+        return {r.id for r in roots if r.id in other - own - shared and r.op not in LEAVES}
+
     def _callable(self, spark: SparkSession, b: Binding, i: GenericIndex, f: Callable[..., Any], named: Mapping[str, np.ndarray]) -> None:
         """A parameter computed from named axes: as a formula on their columns if ``f`` can, else as an array."""
         if not named:

@@ -213,7 +213,7 @@ def tracepoint(node: Node) -> Node:
 
 
 def breakpoint(node: Node) -> Node:  # noqa: A001
-    """As tracepoint(): a distributed evaluation has no place to stop at."""
+    """As tracepoint(), and then stop in the driver's debugger (see sys.breakpointhook)."""
     node.flags.add("break")
     return tracepoint(node)
 

@@ -9,7 +9,7 @@ on the others, as late as the formula allows. All reductions of one frame along
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axiloom.axes import TIME, Axis, layout
-from axiloom.errors import FunctionNotFound, PlaceholderValueNotProvided, UnsupportedNodeType
+from axiloom.errors import FunctionNotFound, PlaceholderValueNotProvided, UnsupportedNodeType, UnsupportedOperation
 from axiloom.functions import numeric
 from axiloom.functions.registry import Function
 from axiloom.plans.expr import LEAVES, Node
@@ -76,10 +76,18 @@ def reduced_kind(kind: str, of: str) -> str:
 class Lowering:
     """Frames for the nodes that ``roots`` need, planned once; nothing runs until a frame is used."""
 
-    def __init__(self, spark: SparkSession, roots: list[Node], binding: Binding):
-        self.spark, self.binding = spark, binding
-        self.guards = _guards(roots)
-        self.order = _ordered(roots, self.guards)
+    def __init__(self, spark: SparkSession, roots: list[Node], binding: Binding, alias: Mapping[int, Node] | None = None):
+        """``alias`` names nodes that are taken to be others: in a region, the choices are one branch's outputs."""
+        self.spark, self.binding, self.alias = spark, binding, dict(alias or {})
+        self.guards = {} if self.alias else _guards(roots)
+        self.order: list[Node] = []
+        self.packs: dict[int, Node] = {}  # for a summary, the node that holds its arguments side by side
+        for n in _ordered(roots, self.guards, self.alias):
+            f = binding.functions.get(n.name) if n.op == "function_call" else None
+            if f is not None and f.kind == "summary" and n.id not in self.alias:
+                self.packs[n.id] = Node("pack", n.args)
+                self.order.append(self.packs[n.id])
+            self.order.append(n)
         self.wanted = {n.id for n in roots}
         self.placed: dict[int, Placed] = {}
         self.frames: dict[tuple[int, Axes], DataFrame] = {}
@@ -91,6 +99,9 @@ class Lowering:
 
     def _place(self) -> None:
         for n in self.order:
+            if n.id in self.alias:
+                self.placed[n.id] = replace(self.placed[self.alias[n.id].id])
+                continue
             self.placed[n.id] = self._leaf(n) if n.op in LEAVES or self._bound(n) else self._inner(n)
 
     def _bound(self, n: Node) -> bool:
@@ -127,6 +138,8 @@ class Lowering:
         axes: Axes = frozenset().union(*(a.axes for a in used))
         kinds = [a.kind for a in args]
         if n.op == "reduce":
+            if n.params["axis"].role != "DOMAIN":
+                raise UnsupportedOperation(f"only DOMAIN axes can be reduced, not {n.params['axis']}; results are averaged over the others")
             kind = reduced_kind(n.params["kind"], kinds[0])
             if n.params["axis"] in axes:
                 return Placed(axes - {n.params["axis"]}, kind, args[0].depth + 1, f"n{n.id}")
@@ -140,10 +153,14 @@ class Lowering:
         elif n.op == "function_call":
             self._function(n)
             kind = "float"
+            if n.id in self.packs and TIME in axes:
+                return Placed(axes - {TIME}, kind, self.placed[self.packs[n.id].id].depth + 1, f"n{n.id}")
+        elif n.op == "pack":
+            kind = "struct"
         else:
             raise UnsupportedNodeType(n.op)
         depth = max((a.depth + (a.literal is None and a.axes != axes) for a in used), default=0)
-        if all(a.literal is not None for a in used) and n.op != "function_call":
+        if all(a.literal is not None for a in used) and n.op not in ("function_call", "pack"):
             # constants are folded here and now: as columns they would grow with every use
             values = [a.value for a in args]
             value = numeric.fold_over_one(n.params["kind"], values[0], kind) if n.op == "reduce" else numeric.fold(n.op, values, kind)
@@ -165,7 +182,7 @@ class Lowering:
         groups: dict[tuple[int, Axes], list[Node]] = {}
         for n in self.order:
             p = self.placed[n.id]
-            if p.literal is None and n.op != "variant_selector":
+            if p.literal is None and n.op != "variant_selector" and n.id not in self.alias:
                 groups.setdefault((p.depth, p.axes), []).append(n)
         for group in sorted(groups, key=lambda g: (g[0], len(g[1]), sorted(g[1]))):
             self.frames[group] = self._frame(group, groups[group])
@@ -193,15 +210,17 @@ class Lowering:
 
     def _frame(self, group: tuple[int, Axes], nodes: list[Node]) -> DataFrame:
         depth, axes = group
+        nodes = [n for n in nodes if n.op != "pack" or TIME in axes]
         reductions = [n for n in nodes if n.op == "reduce" and n.params["axis"] in self.placed[n.args[0].id].axes]
+        reductions += [n for n in nodes if n.id in self.packs and TIME in self.placed[self.packs[n.id].id].axes]
         parts: list[tuple[Axes, DataFrame]] = []
         by_source: dict[tuple[int, Axes], list[Node]] = {}
         for n in reductions:
-            a = self.placed[n.args[0].id]
+            a = self.placed[self.packs.get(n.id, n.args[0]).id if n.op == "function_call" else n.args[0].id]
             by_source.setdefault((a.depth, a.axes), []).append(n)
         for source, own in by_source.items():
             keys = self._keys(source[1] & axes)
-            named = [numeric.aggregate(n.params["kind"], (F.col(self.placed[n.args[0].id].column), self.placed[n.args[0].id].kind), n.params.get("q")).alias(f"n{n.id}") for n in own]
+            named = [self._summary(n) if n.op == "function_call" else numeric.aggregate(n.params["kind"], (F.col(self.placed[n.args[0].id].column), self.placed[n.args[0].id].kind), n.params.get("q")).alias(f"n{n.id}") for n in own]
             parts.append((axes, self.frames[source].groupBy(*keys).agg(*named)))
         reduced = {n.id for n in reductions}
         # columns of other frames that formulas here use
@@ -212,7 +231,7 @@ class Lowering:
                 continue
             for a in (*n.args, *([self.guards[n.id]] if n.id in self.guards else [])):
                 p = self.placed[a.id]
-                if p.literal is None and a.id not in here and p.column:
+                if p.literal is None and self._meant(a).id not in here and p.column:
                     if (p.depth, p.axes) != group:
                         needed.setdefault((p.depth, p.axes), {})[p.column] = None
         for source, columns in sorted(needed.items(), key=lambda x: (-len(x[0][1]), -x[0][0])):
@@ -249,7 +268,7 @@ class Lowering:
         for n in nodes:
             if f"n{n.id}" in df.columns:
                 continue
-            level[n.id] = 1 + max((level.get(a.id, 0) for a in (*n.args, *([self.guards[n.id]] if n.id in self.guards else []))), default=0)
+            level[n.id] = 1 + max((level.get(self._meant(a).id, 0) for a in (*n.args, *([self.guards[n.id]] if n.id in self.guards else []))), default=0)
         for k in sorted(set(level.values())):
             own = [n for n in nodes if level.get(n.id) == k]
             late = [n for n in own if n.op == "function_call" and self._kind(n) == "series" and TIME in axes]
@@ -260,6 +279,11 @@ class Lowering:
                 df = self._series(df, n, axes)
         return df
 
+    def _meant(self, n: Node) -> Node:
+        while n.id in self.alias:
+            n = self.alias[n.id]
+        return n
+
     def _value(self, n: Node) -> tuple[Column, str]:
         p = self.placed[n.id]
         return (p.literal if p.literal is not None else F.col(p.column)), p.kind
@@ -282,14 +306,38 @@ class Lowering:
             return numeric.choose(list(zip(args[:-1:2], args[1:-1:2])), args[-1], strict=True)
         if n.op == "function_call":
             return self._call(n, args)
+        if n.op == "pack":
+            time = [F.col(TIME.key).alias("at")] if TIME in self.placed[n.id].axes else []
+            return F.struct(*time, *[c.alias(f"a{k}") for k, (c, _) in enumerate(args)])
         raise UnsupportedNodeType(n.op)
 
+    def _summary(self, n: Node) -> Column:
+        """A function of whole series, one call for each group: the rows of a group are put in order of time. What does
+        not vary in time is a scalar."""
+        call, keywords = self._function(n).call, n.params["keywords"]
+        varies = [TIME in self.placed[a.id].axes for a in n.args]
+        rows = F.sort_array(F.collect_list(self.placed[self.packs[n.id].id].column))
+
+        def argument(k: int) -> Column:
+            return F.transform(rows, lambda row: row[f"a{k}"])
+
+        def run(*columns: pd.Series) -> pd.Series:
+            out = []
+            for row in zip(*columns):
+                values = [np.asarray(x) if v else x[0] for x, v in zip(row, varies)]
+                at = len(values) - len(keywords)
+                out.append(float(call(*values[:at], **dict(zip(keywords, values[at:])))))
+            return pd.Series(out, dtype=float)
+
+        return F.pandas_udf(run, "double")(*[argument(k) for k in range(len(n.args))]).alias(f"n{n.id}")
+
     def _call(self, n: Node, args: list[tuple[Column, str]]) -> Column:
         call, keywords = self._function(n).call, n.params["keywords"]
         if self._kind(n) == "column":
             split = len(args) - len(keywords)
             return call(*[c for c, _ in args[:split]], **dict(zip(keywords, (c for c, _ in args[split:])))).cast("double")
         guard = numeric.truth(self._value(self.guards[n.id])) if n.id in self.guards else F.lit(True)
+        single = self._kind(n) == "summary"
 
         def run(mask: pd.Series, *columns: pd.Series) -> pd.Series:
             rows = mask.fillna(False).to_numpy(bool)
@@ -297,7 +345,10 @@ class Lowering:
             if rows.any():
                 values = [c.to_numpy()[rows] for c in columns]
                 at = len(values) - len(keywords)
-                out[rows] = call(*values[:at], **dict(zip(keywords, values[at:])))
+                if single:  # a summary of what does not vary in time: scalars
+                    out[rows] = [float(call(*v[:at], **dict(zip(keywords, v[at:])))) for v in zip(*values)]
+                else:
+                    out[rows] = call(*values[:at], **dict(zip(keywords, values[at:])))
             return pd.Series(out)
 
         return F.pandas_udf(run, "double")(guard, *[c for c, _ in args])
@@ -377,7 +428,8 @@ def _under(root: Node, n: Node) -> bool:
     return False
 
 
-def _ordered(roots: list[Node], guards: Mapping[int, Node]) -> list[Node]:
+def _ordered(roots: list[Node], guards: Mapping[int, Node], alias: Mapping[int, Node] | None = None) -> list[Node]:
+    alias = alias or {}
     done: dict[int, Node] = {}
     for root in roots:
         stack = [(root, False)]
@@ -389,5 +441,6 @@ def _ordered(roots: list[Node], guards: Mapping[int, Node]) -> list[Node]:
                 done[n.id] = n
                 continue
             stack.append((n, True))
-            stack += [(a, False) for a in reversed((*n.args, *([guards[n.id]] if n.id in guards else [])))]
+            needs = (alias[n.id],) if n.id in alias else (*n.args, *([guards[n.id]] if n.id in guards else []))
+            stack += [(a, False) for a in reversed(needs)]
     return list(done.values())

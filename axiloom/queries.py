@@ -13,19 +13,18 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from axiloom.axes import ENSEMBLE, PARAMETER, TIME, Axis
 from axiloom.functions import distributions as dist
 from axiloom.functions.registry import adapt
-from axiloom.index import CategoricalIndex, ConditionalCategoricalIndex, ConditionalDistributionIndex, ConstIndex, GenericIndex, Index, TimeseriesIndex
+from axiloom.index import CategoricalIndex, ConditionalCategoricalIndex, ConditionalDistributionIndex, ConstIndex, DistributionIndex, GenericIndex, Index, TimeseriesIndex
 from axiloom.model import Model, ModelVariant
 from axiloom.operators import analytics
 from axiloom.operators.evaluate import Evaluation, EvaluationResult
 from axiloom.plans import expr
 from axiloom.plans.expr import REDUCTIONS, exp, function_call, guards_to_selector, log, maximum, multi_clause_where, piecewise, where
 from axiloom.scenario import Scenario
-from axiloom.sources.ensembles import CrossProductEnsemble, DistributionEnsemble, FrameEnsemble, RowsEnsemble, sample_counts
+from axiloom.sources.ensembles import CrossProductEnsemble, DistributionEnsemble, EnsembleAxisSpec, FrameEnsemble, PartitionedEnsemble, RowsEnsemble, SideBySide, sample_frame
 from axiloom.sources.frames import BoundFrame
 from axiloom.streaming.handles import evaluate_incremental
 
@@ -220,7 +219,13 @@ def solve_circular(x: np.ndarray, rounds: int = 50) -> np.ndarray:
     return s
 
 
-@query()
+_MU = "(1 + 3 * list_sum(s) / 2200368.245435709::DOUBLE)"
+
+
+@query(f"""WITH RECURSIVE {_HOURS}, it(kind, n, hours, x, s) AS (
+    SELECT kind, 0, list(hour ORDER BY hour), list(v::DOUBLE ORDER BY hour), list(v::DOUBLE ORDER BY hour) FROM h GROUP BY kind
+    UNION ALL SELECT kind, n + 1, hours, x, list_transform(x, lambda v, i: v + s[CASE WHEN i = 1 THEN len(s) ELSE i - 1 END] * ({_MU} - 1) / {_MU}) FROM it WHERE n < 50),
+    r AS (SELECT kind, unnest(hours) AS hour, unnest(s) AS s FROM it WHERE n = 50) SELECT kind, hour, round(s, 4) AS load FROM r""")
 def q_udf_series_solver(spark, sf):
     s, bound = _hours(spark, sf)
     out = Index("load", function_call("solve", s))
@@ -294,20 +299,6 @@ def q_expected_value_ts(spark, sf):
     return r.expected_frame(out).select(F.col("d_time").alias("hour"), _r("value").alias("value"))
 
 
-class _Two:
-    """Two ensembles side by side: one axis each."""
-
-    def __init__(self, *parts: FrameEnsemble):
-        self.parts = parts
-        self.ensemble_axes = tuple(a for p in parts for a in p.ensemble_axes)
-
-    def covers(self):
-        return [i for p in self.parts for i in p.covers()]
-
-    def tables(self, spark):
-        return [t for p in self.parts for t in p.tables(spark)]
-
-
 def _segments(spark, sf):
     c = _t(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").cast("double").alias("w"), F.round(F.avg("c_acctbal"), 2).alias("bal"))
     balance = Index("balance", None)
@@ -322,7 +313,7 @@ def q_expected_two_axes(spark, sf):
     s = Suppliers(spark, sf)
     balance, segments = _segments(spark, sf)
     out = Index("out", s.price / 100 + balance * s.qty / 50)
-    r = Evaluation(Scenario(_model(s.price, s.qty, balance, out))).evaluate([out], ensemble=_Two(s.ensemble, segments))
+    r = Evaluation(Scenario(_model(s.price, s.qty, balance, out))).evaluate([out], ensemble=SideBySide(s.ensemble, segments))
     return r.expected_frame(out).select(_r("value", 5).alias("value"))
 
 
@@ -330,7 +321,7 @@ def q_expected_two_axes(spark, sf):
 def q_joint_weights(spark, sf):
     s = Suppliers(spark, sf)
     balance, segments = _segments(spark, sf)
-    r = Evaluation(Scenario(_model(s.price, s.qty, balance))).evaluate([balance], ensemble=_Two(s.ensemble, segments))
+    r = Evaluation(Scenario(_model(s.price, s.qty, balance))).evaluate([balance], ensemble=SideBySide(s.ensemble, segments))
     return r.weights.select(F.col("e_supplier").alias("k"), F.col("e_segment").alias("seg"), "weight")
 
 
@@ -347,21 +338,26 @@ def _categories(spark, sf):
     return segment, priority
 
 
+def _combinations(*indexes: GenericIndex, **kwargs) -> DataFrame:
+    """The scenarios of an evaluation over all combinations: each index's key, and the weight."""
+    e = CrossProductEnsemble(Scenario(_model(*indexes)), **kwargs)
+    r = Evaluation(e.scenario).evaluate(list(indexes), ensemble=e)
+    return r.table(**{i.name: i for i in indexes}).select(*[i.name for i in indexes], _r("w_e__cross_product", 12).alias("weight"))
+
+
 _CROSS = "a AS (SELECT c_mktsegment AS segment, count(*) / sum(count(*)) OVER () AS p FROM customer GROUP BY 1), b AS (SELECT o_orderpriority AS priority, count(*) / sum(count(*)) OVER () AS q FROM orders GROUP BY 1)"
 
 
 @query(f"WITH {_CROSS} SELECT segment, priority, round(p * q, 12) AS weight FROM a, b")
 def q_cross_product_weights(spark, sf):
-    e = CrossProductEnsemble(Scenario(_model(*_categories(spark, sf))))
-    return e.combination_frame(spark).select("segment", "priority", _r("weight", 12).alias("weight"))
+    return _combinations(*_categories(spark, sf))
 
 
 @query(f"WITH {_CROSS}, r AS (SELECT segment, p / sum(p) OVER () AS p FROM a WHERE segment IN ('BUILDING', 'MACHINERY')) SELECT segment, priority, round(p * q, 12) AS weight FROM r, b")
 def q_restriction_renormalised(spark, sf):
     segment, priority = _categories(spark, sf)
     keep = [k for k in ("BUILDING", "MACHINERY") if k in segment.support]
-    e = CrossProductEnsemble(Scenario(_model(segment, priority)), restrictions={segment: keep})
-    return e.combination_frame(spark).select("segment", "priority", _r("weight", 12).alias("weight"))
+    return _combinations(segment, priority, restrictions={segment: keep})
 
 
 def _conditional(spark, sf):
@@ -378,16 +374,31 @@ def _conditional(spark, sf):
 
 @query("SELECT o_orderpriority AS priority, o_orderstatus AS status, round(count(*) / sum(count(*)) OVER (), 12) AS weight FROM orders GROUP BY 1, 2")
 def q_conditional_categorical(spark, sf):
-    e = CrossProductEnsemble(Scenario(_model(*_conditional(spark, sf))))
-    return e.combination_frame(spark).select("priority", "status", _r("weight", 12).alias("weight"))
+    return _combinations(*_conditional(spark, sf))
 
 
 @query("SELECT o_orderpriority AS priority, greatest(1, round_even(count(*) / sum(count(*)) OVER () * 200, 0))::BIGINT AS n FROM orders GROUP BY 1")
 def q_sample_across_counts(spark, sf):
-    o = _t(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("c"))
-    total = _t(spark, sf, "orders").agg(F.count("*").alias("t"))
-    weighted = o.crossJoin(F.broadcast(total)).select("priority", (F.col("c") / F.col("t")).alias("w"))
-    return sample_counts(weighted, "w", 200).select("priority", "n")
+    """Draws in place for each weighted scenario, counted; each lies where its priority's distribution does."""
+    priority, _ = _conditional(spark, sf)
+    load = ConditionalDistributionIndex("load", [priority], lambda priority: dist.uniform(float(priority[0]), 0.5))
+    e = CrossProductEnsemble(Scenario(_model(priority, load)), exclude=[load])
+    (t,) = e.tables(spark)
+    drawn = sample_frame(spark, e, [load], 200, seed=2).join(t.df.withColumnRenamed(f"n{priority.node.id}", "priority"), t.axis.key)
+    at = F.col("priority").substr(1, 1).cast("double")
+    return drawn.where((F.col("load") >= at) & (F.col("load") <= at + 0.5)).groupBy("priority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT i AS a, j AS b, round(1.0 / (n * m), 12) AS weight, 30.0::DOUBLE AS value FROM (SELECT count(*) AS n FROM nation), (SELECT count(*) AS m FROM region), range((SELECT count(*) FROM nation)) x(i), range((SELECT count(*) FROM region)) y(j)")
+def q_partitioned_ensemble(spark, sf):
+    """Two axes of draws, crossed by the one formula that mixes them; distributions without width, so that values are known."""
+    a, b = DistributionIndex("a", dist.uniform, {"loc": 10.0, "scale": 0.0}), DistributionIndex("b", dist.uniform, {"loc": 3.0, "scale": 0.0})
+    out = Index("out", a * b)
+    s = Scenario(_model(a, b, out))
+    axes = [EnsembleAxisSpec("a", _t(spark, sf, "nation").count(), [a]), EnsembleAxisSpec("b", _t(spark, sf, "region").count(), [b])]
+    r = Evaluation(s).evaluate([out], ensemble=PartitionedEnsemble(s, axes))
+    both = r.frame(out).join(r.weights, ["e_a", "e_b"])
+    return both.select(F.col("e_a").alias("a"), F.col("e_b").alias("b"), _r("weight", 12).alias("weight"), "value")
 
 
 def _unit(spark, sf) -> DataFrame:
@@ -422,27 +433,40 @@ def q_lognorm_cdf(spark, sf):
     return i.select("k", _r(dist.lognorm(0.5, 0, 25000).cdf(F.col("l_extendedprice")), 8).alias("v"))
 
 
-@query()
+def _near(value: Column, mean: float, std: float) -> Column:
+    """1 if the average of value is within five standard errors of the mean."""
+    return (F.abs(F.avg(value) - mean) <= 5 * std / F.sqrt(F.count(value))).cast("int")
+
+
+@query("SELECT count(*) AS n, count(*) AS scenarios, 1 AS a_mean, 1 AS b_mean, 1 AS b_inside, 1 AS mode_share, count(*) AS chosen FROM customer")
 def q_distribution_ensemble(spark, sf):
     """Draws on the executors, keyed by scenario number: as many scenarios as there are customers."""
     n = _t(spark, sf, "customer").count()
-    from axiloom.index import DistributionIndex
-
     a, b = DistributionIndex("a", dist.norm, {"loc": 5, "scale": 2}), DistributionIndex("b", dist.truncnorm, {"a": -1, "b": 1})
-    mode = CategoricalIndex("mode", {"bike": 0.3, "train": 0.7})
-    out = Index("out", where(mode == "bike", a, b * 2))
+    mode = CategoricalIndex("mode", {"AIR": 0.3, "SHIP": 0.7})
+    out = Index("out", where(mode == "AIR", a, b * 2))
     m = _model(a, b, mode, out)
     r = Evaluation(Scenario(m)).evaluate(ensemble=DistributionEnsemble(Scenario(m), n, seed=7))
-    return r.table(a=a, b=b, mode=mode, out=out).withColumnRenamed("e__ensemble", "k").drop("w_e__ensemble")
+    air = (F.col("mode") == "AIR").cast("double")
+    chosen = F.col("out") == F.when(F.col("mode") == "AIR", F.col("a")).otherwise(F.col("b") * 2)
+    narrow = dist.truncnorm(-1, 1)
+    return r.table(a=a, b=b, mode=mode, out=out).agg(
+        F.count("*").alias("n"), F.count_distinct("e__ensemble").alias("scenarios"), _near(F.col("a"), 5, 2).alias("a_mean"), _near(F.col("b"), 0, narrow.std()).alias("b_mean"),
+        (F.max(F.abs("b")) <= 1).cast("int").alias("b_inside"), _near(air, 0.3, (0.3 * 0.7) ** 0.5).alias("mode_share"), F.count_if(chosen).alias("chosen"),
+    )
 
 
-@query()
+@query("SELECT o_orderpriority AS priority, o_orderstatus AS status, round(count(*) / sum(count(*)) OVER (), 12) AS weight, left(o_orderpriority, 1)::DOUBLE AS base, 1 AS inside FROM orders GROUP BY 1, 2")
 def q_conditional_distribution(spark, sf):
-    """A random index whose distribution depends on an order's priority, one draw per combination."""
+    """Random indexes whose distribution depends on an order's priority, one draw per combination; one of them without width."""
     priority, status = _conditional(spark, sf)
     load = ConditionalDistributionIndex("load", [priority], lambda priority: dist.triang(0.5, float(priority[0]), 2.0))
-    e = CrossProductEnsemble(Scenario(_model(priority, status, load)), seed=3)
-    return Evaluation(e.scenario).evaluate([load, status, priority], ensemble=e).table(load=load, status=status, priority=priority)
+    base = ConditionalDistributionIndex("base", [priority], lambda priority: dist.uniform(float(priority[0]), 0.0))
+    e = CrossProductEnsemble(Scenario(_model(priority, status, load, base)), seed=3)
+    r = Evaluation(e.scenario).evaluate([load, base, status, priority], ensemble=e)
+    df = r.table(load=load, base=base, status=status, priority=priority)
+    inside = (F.col("load") >= F.col("base")) & (F.col("load") <= F.col("base") + 2)
+    return df.select("priority", "status", _r("w_e__cross_product", 12).alias("weight"), "base", inside.cast("int").alias("inside"))
 
 
 @query(f"WITH {_SUPP} SELECT k, round(price * (1 - 0.05), 6) AS base, round(price * (1 - 0.2), 6) AS what_if FROM s")
@@ -499,10 +523,35 @@ def q_variant_sweep(spark, sf):
 
 @query(f"SELECT {_KEY}, {_VARIANT} AS cost FROM lineitem")
 def q_variant_guarded_union(spark, sf):
-    """Filter, evaluate each branch on its own rows, put together."""
-    li = _t(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_returnflag", "l_extendedprice", "l_quantity")
-    cost = {"R": F.col("l_extendedprice") * 0.5, "A": F.col("l_extendedprice") - F.col("l_quantity"), "N": F.col("l_extendedprice") * 1.0}
-    return analytics.split_by_guard(li, "l_returnflag", {k: (lambda df, c=c: df.select("k", _r(c).alias("cost"))) for k, c in cost.items()})
+    """Filter, evaluate each branch on its own rows, put together: a plan by regions."""
+    i = Items(spark, sf)
+    v = _variants(i, i.flag)
+    r = Evaluation(Scenario(v)).evaluate([v.outputs.cost], "regional", ensemble=i.ensemble)
+    return r.table(cost=v.outputs.cost).select(F.col("e_item").alias("k"), _r("cost").alias("cost"))
+
+
+def _only(flag_is: str):
+    """A function that fails on any row but those of its own branch, which are told by the sign of q."""
+
+    def call(q: np.ndarray) -> np.ndarray:
+        if not (q > 0 if flag_is == "R" else q < 0).all():
+            raise ValueError("called with rows of another branch")
+        return np.sqrt(np.abs(q))
+
+    return call
+
+
+@query(f"SELECT {_KEY}, round(sqrt(l_quantity) + CASE l_returnflag WHEN 'R' THEN 1 ELSE 2 END, 6) AS v, round(2 * (sqrt(l_quantity) + CASE l_returnflag WHEN 'R' THEN 1 ELSE 2 END) + l_tax, 6) AS after FROM lineitem")
+def q_variant_regional(spark, sf):
+    """Branches whose functions fail on foreign rows, and a formula that follows their meeting."""
+    i = Items(spark, sf)
+    signed = Index("signed", where(i.flag == "R", i.q, i.q * -1.0))
+    make = lambda name, fn, more: Model(name, inputs={"q": i.q}, outputs={"v": Index("v", function_call(fn, signed) + more)})
+    v = ModelVariant("v", {"root": make("root", "root", 1), "other": make("other", "other", 2)}, [("root", i.flag == "R"), ("other", True)])
+    after = Index("after", v.outputs.v * 2 + i.t)
+    functions = {"root": adapt(_only("R"), "vector"), "other": adapt(_only("N"), "vector")}
+    r = Evaluation(Scenario(v)).evaluate([v.outputs.v, after], "regional", ensemble=i.ensemble, functions=functions)
+    return r.table(v=v.outputs.v, after=after).select(F.col("e_item").alias("k"), _r("v").alias("v"), _r("after").alias("after"))
 
 
 @query(f"SELECT {_KEY}, round(CASE l_returnflag WHEN 'R' THEN sqrt(l_quantity) ELSE l_quantity * l_quantity END, 6) AS v FROM lineitem")
@@ -534,11 +583,14 @@ def q_sustainable_area(spark, sf):
     return analytics.sustainable_area(df, "f", [(10000, 101), (50, 11)]).select(_r("area", 4).alias("area"))
 
 
-@query("SELECT round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal) / sqrt(count(*)), 6) AS sem FROM customer")
+@query("WITH x AS (SELECT 3 * l_quantity / 10 + 2 * round(l_discount * 100) / 2 + l_quantity / 10 * round(l_discount * 100) / 2 AS v FROM lineitem) SELECT round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem FROM x")
 def q_index_ci(spark, sf):
-    c = _t(spark, sf, "customer")
-    n = c.count()
-    out = analytics.index_with_confidence(c, "c_acctbal", n)
+    """The mean, with its error, of a field on a grid, interpolated at samples: line items by quantity and discount."""
+    grid = spark.range(36).select((F.col("id") / 6).cast("int").alias("i"), (F.col("id") % 6).cast("int").alias("j"))
+    grid = grid.withColumn("v", (3 * F.col("i") + 2 * F.col("j") + F.col("i") * F.col("j")).cast("double"))
+    samples = _t(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.round(F.col("l_discount") * 100).alias("y"))
+    n = samples.count()
+    out = analytics.index_with_confidence(analytics.bilinear(grid, samples, "x", "y", "v", (10.0, 2.0), (6, 6)), "v", n)
     return out.select(_r("mean").alias("mean"), _r(F.col("half_width") / dist.student_ppf(0.95, n - 1)).alias("sem"))
 
 
@@ -555,10 +607,29 @@ def q_modal_line(spark, sf):
     return line.select("n", _r("cx").alias("cx"), _r("cy").alias("cy"), _r(F.abs("dx")).alias("dx"))
 
 
+_GRID = "n AS (SELECT count(*)::DOUBLE AS n FROM lineitem), g AS (SELECT floor(l_extendedprice / 10000)::INT AS i, floor(l_quantity / 5)::INT AS j, count(*) / max(n) AS v FROM lineitem, n GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_GRID}, x AS (SELECT i, j, v > 0.01 AS up FROM g),
+    y AS (SELECT i, j, up, coalesce(lag(up) OVER a, false) OR coalesce(lead(up) OVER a, false) OR coalesce(lag(up) OVER b, false) OR coalesce(lead(up) OVER b, false) AS near FROM x WINDOW a AS (PARTITION BY j ORDER BY i), b AS (PARTITION BY i ORDER BY j)),
+    m AS (SELECT count(*) AS n, avg(i * 10.0) AS cx, avg(j * 5.0) AS cy, atan2(2 * covar_pop(i * 10.0, j * 5.0), var_pop(i * 10.0) - var_pop(j * 5.0)) / 2 AS a FROM y WHERE NOT up AND near),
+    d AS (SELECT cx, cy, cos(a) AS dx, sin(a) AS dy FROM m WHERE n >= 3),
+    t AS (SELECT *, greatest(least(-cx / dx, (100 - cx) / dx), least(-cy / dy, (50 - cy) / dy)) AS lo, least(greatest(-cx / dx, (100 - cx) / dx), greatest(-cy / dy, (50 - cy) / dy)) AS hi FROM d)
+    SELECT round(cx + lo * dx, 5) AS x0, round(cy + lo * dy, 5) AS y0, round(cx + hi * dx, 5) AS x1, round(cy + hi * dy, 5) AS y1 FROM t WHERE lo < hi""")
+def q_modal_line_clipped(spark, sf):
+    """The boundary of where line items are frequent, its main axis, and that clipped to the box."""
+    li = _t(spark, sf, "lineitem")
+    total = float(li.count())
+    grid = li.groupBy(F.floor(F.col("l_extendedprice") / 10000).cast("int").alias("i"), F.floor(F.col("l_quantity") / 5).cast("int").alias("j")).agg((F.count("*") / total).alias("v"))
+    line = analytics.modal_line(grid, "v", (10.0, 5.0), (100.0, 50.0), 0.01)
+    return line.select(*[_r(c, 5).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 @query(f"SELECT {_KEY}, round(l_extendedprice * 30000.0 / pow(pow(l_extendedprice, 3) + pow(30000.0, 3), 1 / 3.0::DOUBLE), 4) AS v FROM lineitem")
 def q_presence_saturation(spark, sf):
-    li = _t(spark, sf, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return li.select("k", _r(analytics.saturated(F.col("l_extendedprice"), 30000.0), 4).alias("v"))
+    i = Items(spark, sf)
+    functions = {"saturated": adapt(lambda p: analytics.saturated(p, 30000.0), "column")}
+    return i.table(functions=functions, v=function_call("saturated", i.p)).select("k", _r("v", 4).alias("v"))
 
 
 @query(f"WITH {_SUPP} SELECT trunc(sum(w * price) / sum(w))::BIGINT AS price, trunc(sum(w * -qty) / sum(w))::BIGINT AS qty FROM s")
@@ -570,7 +641,7 @@ def q_indicators(spark, sf):
     return a.select(analytics.indicator(F.col("value")).alias("price")).crossJoin(b.select(analytics.indicator(F.col("value")).alias("qty")))
 
 
-@query()
+@query(f"WITH {_HOURS}, g AS (SELECT hour, v / 100.0 AS mu, x::BIGINT AS x FROM h, range(0, 30, 5) r(x)) SELECT hour AS d_time, x, round(avg(list_sum(list_transform(range(0, x + 1), lambda i: exp(i * ln(mu) - mu - lgamma(i + 1))))), 6) AS share FROM g GROUP BY 1, 2")
 def q_poisson_field(spark, sf):
     """The mean share of scenarios in which at most x events come, per hour and x."""
     s, bound = _hours(spark, sf)
@@ -580,27 +651,31 @@ def q_poisson_field(spark, sf):
     return grid.groupBy("d_time", "x").agg(_r(F.avg(analytics.share_at_most(F.col("value"), F.col("x").cast("double")))).alias("share"))
 
 
-@query(f"WITH {_SUPP}, x AS (SELECT fmod(k, 2) AS h, count(*) AS n, sum(price) AS v FROM s GROUP BY 1) SELECT round(sum(v) / sum(n), 5) AS value FROM x")
+@query("SELECT 4 * count(*) AS n, round(10.0 * 3.0, 6) AS value, round(1.0 / (4 * count(*)), 12) AS weight FROM nation")
 def q_incremental_merge(spark, sf):
-    """Two halves of the scenarios, averaged apart, merge to the average of all."""
-    df = Suppliers(spark, sf).ensemble.df
-    parts = []
-    for h in (0, 1):
-        price = Index("price", None)
-        r = Evaluation(Scenario(_model(price))).evaluate([price], ensemble=FrameEnsemble(df.where(F.col("l_suppkey") % 2 == h), "l_suppkey", None, {price: "price"}, "supplier"))
-        parts.append(r.frame(price).agg(F.sum("value").alias("s"), F.count("*").alias("n")))
-    return parts[0].unionByName(parts[1]).agg(_r(F.sum("s") / F.sum("n"), 5).alias("value"))
-
-
-@query()
+    """Batches of scenarios merged into one result: its average, size and weights. Without width, values are known."""
+    n = _t(spark, sf, "nation").count()
+    a, b = DistributionIndex("a", dist.uniform, {"loc": 10.0, "scale": 0.0}), DistributionIndex("b", dist.uniform, {"loc": 3.0, "scale": 0.0})
+    out = Index("out", a * b)
+    h = evaluate_incremental(Evaluation(Scenario(_model(a, b, out))), n, [out], seed=1)
+    h.extend(2 * n)
+    r = h.extend(n)
+    averaged = r.expected_frame(out).select(_r("value").alias("value"))
+    return r.frame(out).agg(F.count_distinct("e__ensemble").alias("n"), _r(F.max("w_e__ensemble"), 12).alias("weight")).crossJoin(averaged).select("n", "value", "weight")
+
+
+@query("SELECT k, 1 AS same FROM range(2 * (SELECT count(*) FROM customer)) r(k)")
 def q_incremental_extend(spark, sf):
-    """30 scenarios, extended by 20: the value of each equals that of 50 at once."""
-    from axiloom.index import DistributionIndex
-
+    """As many scenarios as customers, extended by as many: the value of each is that of all evaluated at once."""
+    n = _t(spark, sf, "customer").count()
     a, b = DistributionIndex("a", dist.uniform, {"scale": 3.0}), DistributionIndex("b", dist.norm, {})
     out = Index("out", a * 2 + b)
-    h = evaluate_incremental(Evaluation(Scenario(_model(a, b, out))), 30, [out], seed=99).extend(20)
-    return h.frame(out).select(F.col("e__ensemble").alias("k"), "value")
+    s = Scenario(_model(a, b, out))
+    h = evaluate_incremental(Evaluation(s), n, [out], seed=99)
+    grown = h.extend(n).frame(out).select(F.col("e__ensemble").alias("k"), F.col("value").alias("grown"))
+    whole = Evaluation(s).evaluate([out], ensemble=DistributionEnsemble(s, 2 * n, seed=99)).frame(out)
+    met = grown.join(whole.select(F.col("e__ensemble").alias("k"), "value"), "k")
+    return met.select("k", (F.col("grown") == F.col("value")).cast("int").alias("same"))
 
 
 @query(f"SELECT {_KEY}, round(ln(1 + l_quantity), 9) AS v FROM lineitem")
@@ -638,7 +713,8 @@ def q_series_constant(spark, sf):
 @query(f"WITH {_HOURS} SELECT kind, hour, round(sum(v) OVER (PARTITION BY kind), 4) AS total, round(v - lag(v, 1, 0) OVER (PARTITION BY kind ORDER BY hour), 4) AS step FROM h")
 def q_window_over_axes(spark, sf):
     """A whole-axis total beside each value, and the step from the value before."""
-    _, bound = _hours(spark, sf)
-    whole, before = Window.partitionBy("kind"), Window.partitionBy("kind").orderBy("hour")
-    total, step = F.sum("value").over(whole), F.col("value") - F.lag("value", 1, 0.0).over(before)
-    return bound.df.select("kind", "hour", _r(total, 4).alias("total"), _r(step, 4).alias("step"))
+    s, bound = _hours(spark, sf)
+    total, step = Index("total", s.sum() + s * 0.0), Index("step", function_call("step", s))
+    functions = {"step": adapt(lambda a: np.diff(a, prepend=0.0), "series")}
+    r = Evaluation(Scenario(_model(s, total, step))).evaluate([total, step], frames={s: bound}, functions=functions)
+    return r.table(total=total, step=step).select(F.col("p_kind").alias("kind"), F.col("d_time").alias("hour"), _r("total", 4).alias("total"), _r("step", 4).alias("step"))

@@ -8,9 +8,10 @@ generator, values are drawn on the driver, index after index, so that seeded run
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Mapping, Sequence
+import zlib
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
@@ -19,12 +20,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from axiloom.axes import ENSEMBLE, Axis
-from axiloom.functions.distributions import Distribution
+from axiloom.functions.distributions import Distribution, column_ppf
 from axiloom.index import CategoricalIndex, ConditionalCategoricalIndex, ConditionalDistributionIndex, DistributionIndex, GenericIndex
 from axiloom.scenario import Scenario
 from axiloom.sources.frames import AxisTable, array_table, hashed_uniform, local_frame, value_kind
 
 WeightedScenario = tuple[float, dict[GenericIndex, Any]]
+#: Scenarios drawn together where a distribution can only be sampled.
+CHUNK = 4096
+
+
+class Ensemble(Protocol):
+    """Anything that gives weighted scenarios one by one."""
+
+    def __iter__(self) -> Iterator[WeightedScenario]: ...
+
+
+@runtime_checkable
+class AxisEnsemble(Protocol):
+    """Scenarios along one or more axes: the weights and values of each axis, as frames by ``tables``."""
+
+    @property
+    def ensemble_axes(self) -> tuple[Axis, ...]: ...
+
+    def covers(self) -> list[GenericIndex]: ...
+
+    def tables(self, spark: SparkSession) -> list[AxisTable]: ...
 
 
 def as_scenario(x: Any) -> Scenario:
@@ -67,30 +88,39 @@ def _drawn(scenario: Scenario, i: GenericIndex, n: int, rng: Any) -> np.ndarray:
 
 
 def _axis_of_draws(spark: SparkSession, scenario: Scenario, axis: Axis, indexes: list[GenericIndex], n: int, rng: Any, seed: int, start: int = 0) -> AxisTable:
-    lazy = rng is None and all(isinstance(i, CategoricalIndex) or hasattr(scenario.effective_distribution(i), "ppf") for i in indexes)
-    if not lazy:
-        rng = rng if rng is not None else np.random.default_rng([seed, start])
+    if rng is not None:
         return _table(spark, axis, np.full(n, 1.0 / n), {i: _drawn(scenario, i, n, rng) for i in indexes}, start)
-    key = F.col("id").cast("int").alias(axis.key)
+    sampled = [i for i in indexes if not isinstance(i, CategoricalIndex) and not hasattr(scenario.effective_distribution(i), "ppf")]
+    base = _sampled(spark, scenario, sampled, n, seed, start) if sampled else spark.range(start, start + n)
     columns, kinds, names = [], {}, {}
     for i in indexes:
-        u = hashed_uniform(seed, i.name, F.col("id"))
-        c = keyed(scenario.effective_outcomes(i), u) if isinstance(i, CategoricalIndex) else _ppf(scenario.effective_distribution(i), u)
-        columns.append(c.alias(f"n{i.node.id}"))
-        names[i.node.id], kinds[i.node.id] = f"n{i.node.id}", "str" if isinstance(i, CategoricalIndex) else "float"
-    df = spark.range(start, start + n).select(key, F.lit(1.0 / n).alias(f"w_{axis.key}"), *columns)
+        name = f"n{i.node.id}"
+        if any(i is x for x in sampled):
+            c = F.col(name)
+        elif isinstance(i, CategoricalIndex):
+            c = keyed(scenario.effective_outcomes(i), hashed_uniform(seed, i.name, F.col("id")))
+        else:
+            c = column_ppf(scenario.effective_distribution(i), hashed_uniform(seed, i.name, F.col("id")))
+        columns.append(c.alias(name))
+        names[i.node.id], kinds[i.node.id] = name, "str" if isinstance(i, CategoricalIndex) else "float"
+    df = base.select(F.col("id").alias(axis.key), F.lit(1.0 / n).alias(f"w_{axis.key}"), *columns)
     return AxisTable(axis, df, names, kinds, f"w_{axis.key}")
 
 
-def _ppf(d: Distribution, u: Column) -> Column:
-    """d.ppf on columns if it can, else on Arrow batches."""
-    try:
-        out = d.ppf(u)
-        if isinstance(out, Column):
-            return out
-    except TypeError:
-        pass
-    return F.pandas_udf(lambda s: pd.Series(np.asarray(d.ppf(s.to_numpy()), float)), "double")(u)
+def _sampled(spark: SparkSession, scenario: Scenario, indexes: list[GenericIndex], n: int, seed: int, start: int) -> DataFrame:
+    """(id, one column per index) for distributions that can only be sampled: whole chunks of scenarios, each with a
+    generator of its own, so that draws depend on the scenario's number alone."""
+    drawn = [(f"n{i.node.id}", zlib.crc32(i.name.encode()), scenario.effective_distribution(i)) for i in indexes]
+
+    def run(batches):
+        for pdf in batches:
+            for chunk in pdf["id"].tolist():
+                ids = np.arange(chunk * CHUNK, (chunk + 1) * CHUNK)
+                inside = (ids >= start) & (ids < start + n)
+                values = {c: np.asarray(d.rvs(size=CHUNK, random_state=np.random.default_rng([seed, key, chunk])), float)[inside] for c, key, d in drawn}
+                yield pd.DataFrame({"id": ids[inside], **values})
+
+    return spark.range(start // CHUNK, -(-(start + n) // CHUNK)).mapInPandas(run, "id long, " + ", ".join(f"{c} double" for c, _, _ in drawn))
 
 
 class _Ensemble:
@@ -191,12 +221,44 @@ def _in_order(indexes: list[GenericIndex]) -> list[GenericIndex]:
     return out
 
 
+def _pin(scenario: Scenario, parent: GenericIndex) -> str | None:
+    v = scenario.override_of(parent)
+    return v if isinstance(v, str) else None
+
+
+def conditional_draw(scenario: Scenario, i: ConditionalDistributionIndex, u: Column, supports: Mapping[int, Sequence[str]] | None = None) -> Column:
+    """The value at u of a random index, given its parents' columns n<id>. With categorical parents, a choice among one
+    quantile function per combination of their keys; with a random parent, the factory row by row in Arrow batches."""
+    free = [p for p in i.parents if _pin(scenario, p) is None]
+    pinned = {p.name: _pin(scenario, p) for p in i.parents if _pin(scenario, p) is not None}
+    if all(isinstance(p, (CategoricalIndex, ConditionalCategoricalIndex)) for p in free):
+        out = None
+        for values in itertools.product(*((supports or {}).get(id(p), p.support) for p in free)):
+            test = F.lit(True)
+            for p, v in zip(free, values):
+                test = test & (F.col(f"n{p.node.id}") == v)
+            value = column_ppf(i.distribution_for(**pinned, **{p.name: v for p, v in zip(free, values)}), u)
+            out = F.when(test, value) if out is None else out.when(test, value)
+        return out
+    names = [p.name for p in free]
+
+    def draw(*series: pd.Series) -> pd.Series:
+        uniform, *parents = series
+        rows = zip(uniform, *parents)
+        return pd.Series([float(i.distribution_for(**pinned, **dict(zip(names, r[1:]))).ppf(np.float64(r[0]))) for r in rows], dtype=float)
+
+    return F.pandas_udf(draw, "double")(u, *[F.col(f"n{p.node.id}") for p in free])
+
+
 class CrossProductEnsemble(_Ensemble):
     """All combinations of the categorical indexes with their joint weights, and draws of the others for each.
 
     ``restrictions`` keeps some keys of an index and renormalises; an index with more than ``max_categorical_size``
-    keys is drawn that many times instead. Conditional probabilities become tables (parents' keys, key, p), joined
-    with the combinations so far; a pinned parent is a key of probability one.
+    keys is drawn that many times instead. Each index is a table (parents' keys, key, share, place): combinations are
+    their joins on the parents' keys, weights the products of the shares, and a combination's number follows from the
+    places, in the order of the supports with the last index fastest. A pinned parent is a key of probability one.
+
+    With a NumPy generator everything is drawn on the driver in index order instead, to replay seeded runs.
     """
 
     def __init__(self, scenario: Any, restrictions: Mapping[GenericIndex, Sequence[str]] | None = None, max_categorical_size: int = 20, exclude: Sequence[GenericIndex] = (), rng: Any = None, seed: int = 0):
@@ -211,114 +273,102 @@ class CrossProductEnsemble(_Ensemble):
     def covers(self) -> list[GenericIndex]:
         return [*self.categorical, *self.random]
 
-    def _pin(self, parent: GenericIndex) -> str | None:
-        v = self.scenario.override_of(parent)
-        return v if isinstance(v, str) else None
+    def _support(self, i: GenericIndex) -> list[str]:
+        return self.restrictions.get(id(i)) or (i.support if isinstance(i, ConditionalCategoricalIndex) else list(self.scenario.effective_outcomes(i)))
 
-    def _outcomes(self, i: GenericIndex, parents: dict[str, Any]) -> list[tuple[str, float]]:
+    def _outcomes(self, i: GenericIndex, parents: dict[str, Any], rng: Any = None) -> list[tuple[str, float]]:
         """(key, share) under the restrictions, or as many draws as allowed; shares sum to one."""
         found = i.outcomes_for(**parents) if isinstance(i, ConditionalCategoricalIndex) else self.scenario.effective_outcomes(i)
-        keys = self.restrictions.get(id(i), list(found))
+        keys = self._support(i)
         p = np.array([found[k] for k in keys], float)
         p /= p.sum()
         if len(keys) <= self.most:
             return list(zip(keys, p.tolist()))
-        rng = self.rng if self.rng is not None else np.random.default_rng([self.seed, len(keys)])
+        rng = rng if rng is not None else np.random.default_rng([self.seed, len(keys)])
         return [(str(k), 1.0 / self.most) for k in rng.choice(keys, size=self.most, p=p)]
 
-    def _combinations(self) -> list[tuple[float, dict[int, str]]]:
-        """(weight, key by index id), in the order of the supports, last index fastest."""
-        if "combinations" not in self._done:
-            found: list[tuple[float, dict[int, str]]] = [(1.0, {})]
-            for i in self.categorical:
-                grown = []
-                for w, have in found:
-                    parents = {p.name: have.get(id(p), self._pin(p)) for p in getattr(i, "parents", ())}
-                    grown += [(w * share, {**have, id(i): k}) for k, share in self._outcomes(i, parents)]
-                found = grown
-            total = sum(w for w, _ in found)
-            self._done["combinations"] = [(w / total, have) for w, have in found]
-        return self._done["combinations"]
-
     def __len__(self) -> int:
-        return len(self._combinations())
+        return int(np.prod([min(self.most, len(self._support(i))) for i in self.categorical], dtype=object)) if self.categorical else 1
 
     @property
     def size(self) -> int:
         return len(self)
 
-    @property
-    def ensemble_weights(self) -> tuple[np.ndarray, ...]:
-        return (np.array([w for w, _ in self._combinations()]),)
-
-    def assignments(self) -> dict[GenericIndex, np.ndarray]:
-        """Values on the driver; only here, and with a generator, are random ones drawn there."""
-        if "assignments" not in self._done:
-            found = self._combinations()
-            out: dict[GenericIndex, np.ndarray] = {i: np.array([have[id(i)] for _, have in found], dtype=object) for i in self.categorical}
-            rng = self.rng if self.rng is not None else np.random.default_rng(self.seed)
-            for i in self.random:
-                if isinstance(i, ConditionalDistributionIndex):
-                    rows = [{p.name: out[p][k] if p in out else self._pin(p) for p in i.parents} for k in range(len(found))]
-                    out[i] = np.array([float(i.distribution_for(**r).rvs(random_state=rng)) for r in rows])
-                else:
-                    out[i] = np.asarray(self.scenario.effective_distribution(i).rvs(size=len(found), random_state=rng))
-            self._done["assignments"] = out
-        return self._done["assignments"]
-
     def combination_frame(self, spark: SparkSession) -> DataFrame:
-        """The combinations by joins of probability tables: one column per categorical index, and ``weight``."""
-        df: DataFrame | None = None
+        """The combinations: their number and weight, and one column n<id> per categorical index."""
+        key = self.ensemble_axes[0].key
+        df = spark.range(1).select(F.lit(0).cast("long").alias(key), F.lit(1.0).alias(f"w_{key}"))
         for i in self.categorical:
             parents = [p for p in getattr(i, "parents", ()) if any(p is x for x in self.categorical)]
-            pinned = {p.name: self._pin(p) for p in getattr(i, "parents", ()) if not any(p is x for x in self.categorical)}
-            supports = [self.restrictions.get(id(p), p.support) for p in parents]
-            rows = [(*values, k, share) for values in itertools.product(*supports) for k, share in self._outcomes(i, pinned | {p.name: v for p, v in zip(parents, values)})]
-            names = [*(p.name for p in parents), i.name, "p"]
-            t = local_frame(spark, {c: ("double" if c == "p" else "string", [r[k] for r in rows]) for k, c in enumerate(names)})
-            if df is None:
-                df = t.withColumnRenamed("p", "weight")
+            pinned = {p.name: _pin(self.scenario, p) for p in getattr(i, "parents", ()) if not any(p is x for x in self.categorical)}
+            rows = []
+            for values in itertools.product(*(self._support(p) for p in parents)):
+                for at, (k, share) in enumerate(self._outcomes(i, pinned | {p.name: v for p, v in zip(parents, values)})):
+                    rows.append((*values, k, share, at))
+            names = [*(f"n{p.node.id}" for p in parents), f"n{i.node.id}", "_share", "_at"]
+            kinds = {"_share": "double", "_at": "bigint"}
+            t = local_frame(spark, {c: (kinds.get(c, "string"), [r[k] for r in rows]) for k, c in enumerate(names)})
+            # a table has at most a few keys for each of its parents': the planner knows its size
+            df = df.join(t, names[: len(parents)]) if parents else df.crossJoin(t)
+            n = min(self.most, len(self._support(i)))
+            df = df.withColumns({key: F.col(key) * n + F.col("_at"), f"w_{key}": F.col(f"w_{key}") * F.col("_share")}).drop("_share", "_at")
+        return df
+
+    def _replayed(self) -> dict[str, Any]:
+        """Weights and values in NumPy: drawn by the generator, or without one collected from the frame."""
+        if self._done:
+            return self._done
+        if self.rng is None:
+            spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+            (t,) = self.tables(spark)
+            got = t.df.orderBy(t.axis.key).toPandas()
+            values = {i: got[t.columns[i.node.id]].to_numpy(dtype=object if t.kinds[i.node.id] == "str" else float) for i in self.covers()}
+            self._done = {"weights": got[t.weight].to_numpy(float), "values": values}
+            return self._done
+        found: list[tuple[float, dict[int, str]]] = [(1.0, {})]
+        for i in self.categorical:
+            grown = []
+            for w, have in found:
+                parents = {p.name: have.get(id(p), _pin(self.scenario, p)) for p in getattr(i, "parents", ())}
+                grown += [(w * share, {**have, id(i): k}) for k, share in self._outcomes(i, parents, self.rng)]
+            found = grown
+        values = {i: np.array([have[id(i)] for _, have in found], dtype=object) for i in self.categorical}
+        for i in self.random:
+            if isinstance(i, ConditionalDistributionIndex):
+                rows = [{p.name: values[p][k] if p in values else _pin(self.scenario, p) for p in i.parents} for k in range(len(found))]
+                values[i] = np.array([float(i.distribution_for(**r).rvs(random_state=self.rng)) for r in rows])
             else:
-                df = df.join(t, [p.name for p in parents]) if parents else df.crossJoin(t)
-                df = df.withColumn("weight", F.col("weight") * F.col("p")).drop("p")
-        return df if df is not None else spark.range(1).select(F.lit(1.0).alias("weight"))
+                values[i] = np.asarray(self.scenario.effective_distribution(i).rvs(size=len(found), random_state=self.rng))
+        weights = np.array([w for w, _ in found])
+        self._done = {"weights": weights / weights.sum(), "values": values}
+        return self._done
+
+    @property
+    def ensemble_weights(self) -> tuple[np.ndarray, ...]:
+        return (self._replayed()["weights"],)
+
+    def assignments(self) -> dict[GenericIndex, np.ndarray]:
+        """Values on the driver."""
+        return self._replayed()["values"]
 
     def tables(self, spark: SparkSession) -> list[AxisTable]:
         axis = self.ensemble_axes[0]
-        if self.rng is not None or any(not hasattr(self.scenario.effective_distribution(i), "ppf") for i in self.random if not isinstance(i, ConditionalDistributionIndex)):
+        if self.rng is not None:
             return [_table(spark, axis, self.ensemble_weights[0], self.assignments())]
-        found = self._combinations()
-        base = _table(spark, axis, np.array([w for w, _ in found]), {i: np.array([have[id(i)] for _, have in found], dtype=object) for i in self.categorical})
-        df = base.df
+        df = self.combination_frame(spark)
+        sampled = [i for i in self.random if not isinstance(i, ConditionalDistributionIndex) and not hasattr(self.scenario.effective_distribution(i), "ppf")]
+        if sampled:
+            drawn = _sampled(spark, self.scenario, sampled, len(self), self.seed, 0)
+            df = df.join(drawn.withColumnRenamed("id", axis.key), axis.key)
         for i in self.random:
+            if any(i is x for x in sampled):
+                continue
             u = hashed_uniform(self.seed, i.name, F.col(axis.key))
-            df = df.withColumn(f"n{i.node.id}", self._drawn(i, u) if isinstance(i, ConditionalDistributionIndex) else _ppf(self.scenario.effective_distribution(i), u))
+            value = conditional_draw(self.scenario, i, u, self.restrictions) if isinstance(i, ConditionalDistributionIndex) else column_ppf(self.scenario.effective_distribution(i), u)
+            df = df.withColumn(f"n{i.node.id}", value)
         names = {i.node.id: f"n{i.node.id}" for i in self.covers()}
         kinds = {i.node.id: "str" if any(i is c for c in self.categorical) else "float" for i in self.covers()}
-        return [AxisTable(axis, df, names, kinds, base.weight)]
-
-    def _drawn(self, i: ConditionalDistributionIndex, u: Column) -> Column:
-        """With categorical parents, a choice among one quantile function per combination of their keys; with a random
-        parent, the factory row by row in Arrow batches."""
-        free = [p for p in i.parents if self._pin(p) is None]
-        pinned = {p.name: self._pin(p) for p in i.parents if self._pin(p) is not None}
-        if all(isinstance(p, (CategoricalIndex, ConditionalCategoricalIndex)) for p in free):
-            out = None
-            for values in itertools.product(*(self.restrictions.get(id(p), p.support) for p in free)):
-                test = F.lit(True)
-                for p, v in zip(free, values):
-                    test = test & (F.col(f"n{p.node.id}") == v)
-                value = _ppf(i.distribution_for(**pinned, **{p.name: v for p, v in zip(free, values)}), u)
-                out = F.when(test, value) if out is None else out.when(test, value)
-            return out
-        names = [p.name for p in free]
-
-        def draw(*series: pd.Series) -> pd.Series:
-            uniform, *parents = series
-            rows = zip(uniform, *parents)
-            return pd.Series([float(i.distribution_for(**pinned, **dict(zip(names, r[1:]))).ppf(np.float64(r[0]))) for r in rows], dtype=float)
-
-        return F.pandas_udf(draw, "double")(u, *[F.col(f"n{p.node.id}") for p in free])
+        return [AxisTable(axis, df, names, kinds, f"w_{axis.key}")]
 
 
 class RowsEnsemble(_Ensemble):
@@ -371,16 +421,58 @@ class FrameEnsemble(_Ensemble):
         return [AxisTable(axis, df, {i.node.id: f"n{i.node.id}" for i in self.columns}, kinds, f"w_{axis.key}")]
 
 
-def sample_across(ensemble: _Ensemble, indexes: Sequence[ConditionalDistributionIndex], total: int = 200, rng: Any = None, seed: int = 0) -> dict[ConditionalDistributionIndex, np.ndarray]:
-    """About ``total`` draws of each index, max(1, round(weight * total)) for each scenario of a one-axis ensemble."""
+class SideBySide(_Ensemble):
+    """Ensembles with axes of their own as one; they are crossed only where a formula mixes axes."""
+
+    def __init__(self, *parts: Any):
+        self.parts = parts
+        self.ensemble_axes = tuple(a for p in parts for a in p.ensemble_axes)
+        if len(set(self.ensemble_axes)) < len(self.ensemble_axes):
+            raise ValueError(f"axis names repeat: {[a.name for a in self.ensemble_axes]}")
+
+    def covers(self) -> list[GenericIndex]:
+        return [i for p in self.parts for i in p.covers()]
+
+    def tables(self, spark: SparkSession) -> list[AxisTable]:
+        return [t for p in self.parts for t in p.tables(spark)]
+
+
+def _checked_parents(ensemble: Any, indexes: Sequence[ConditionalDistributionIndex]) -> None:
     if len(ensemble.ensemble_axes) != 1:
         raise ValueError(f"sample_across needs one ensemble axis; there are {len(ensemble.ensemble_axes)}")
-    have = ensemble.assignments()
-    out: dict[ConditionalDistributionIndex, list[float]] = {i: [] for i in indexes}
     for i in indexes:
-        if missing := [p.name for p in i.parents if not any(p is x for x in have)]:
+        if missing := [p.name for p in i.parents if not any(p is x for x in ensemble.covers())]:
             raise ValueError(f"parents of {i.name!r} are not in the ensemble: {', '.join(missing)}")
-    rng = rng if rng is not None else np.random.default_rng(seed)
+
+
+def sample_frame(spark: SparkSession, ensemble: Any, indexes: Sequence[ConditionalDistributionIndex], total: int = 200, seed: int = 0) -> DataFrame:
+    """About ``total`` draws of each index: max(1, round half even (weight * total)) for each scenario of a one-axis
+    ensemble, one row each, in place: the scenario's key, ``draw`` and a column by the name of each index."""
+    _checked_parents(ensemble, indexes)
+    (t,) = ensemble.tables(spark)
+    scenario = getattr(ensemble, "scenario", None) or Scenario(_bare(ensemble.covers()))
+    rows = sample_counts(t.df, t.weight, total).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    # a draw's uniform depends on the scenario and its own number alone
+    ident = F.xxhash64(t.axis.key, "draw")
+    values = {i.name: conditional_draw(scenario, i, hashed_uniform(seed, i.name, ident)) for i in indexes}
+    return rows.select(t.axis.key, "draw", *[c.alias(k) for k, c in values.items()])
+
+
+def _bare(indexes: Sequence[GenericIndex]) -> Any:
+    from axiloom.model import Model
+
+    return Model("ensemble", inputs={f"i{k}": i for k, i in enumerate(indexes)})
+
+
+def sample_across(ensemble: Any, indexes: Sequence[ConditionalDistributionIndex], total: int = 200, rng: Any = None, seed: int = 0) -> dict[ConditionalDistributionIndex, np.ndarray]:
+    """sample_frame() as arrays; with a generator, drawn by it on the driver, scenario after scenario."""
+    _checked_parents(ensemble, indexes)
+    if rng is None:
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        got = sample_frame(spark, ensemble, indexes, total, seed).orderBy(ensemble.ensemble_axes[0].key, "draw").toPandas()
+        return {i: got[i.name].to_numpy(float) for i in indexes}
+    have = ensemble.assignments()
+    out: dict[ConditionalDistributionIndex, list[float]] = {i: [] for i in indexes}
     for k, w in enumerate(ensemble.ensemble_weights[0]):
         for i in indexes:
             d = i.distribution_for(**{p.name: have[p][k] for p in i.parents})

@@ -1,7 +1,9 @@
 """Evaluation against NumPy."""
 
+import concurrent.futures
 import itertools
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from axiloom.axes import PARAMETER, TIME, Axis
-from axiloom.errors import FunctionNotFound, PlaceholderValueNotProvided
+from axiloom.errors import FunctionNotFound, PlaceholderValueNotProvided, UnsupportedOperation
 from axiloom.functions import distributions as dist
 from axiloom.functions.registry import adapt
 from axiloom.index import CategoricalIndex, ConstIndex, ConstTimeseriesIndex, DistributionIndex, Index, TimeseriesIndex
@@ -229,6 +231,81 @@ def test_functions_in_branches_see_their_own_rows(spark):
     np.testing.assert_array_equal(Evaluation(Scenario(v)).execute_plan(plan, ensemble=rows, functions={"fa": strict, "fb": np.square}, spark=spark)[v.outputs.o], [2, 9, 3])
 
 
+def test_regions_evaluate_branches_on_their_own_scenarios(spark):
+    def positive(x):
+        assert (x > 0).all()
+        return np.sqrt(x)
+
+    def negative(x):
+        assert (x < 0).all()
+        return -x
+
+    functions = {"fa": adapt(positive, "vector"), "fb": adapt(negative, "vector")}
+    q, p, sel = Index("q", None), Index("p", None), CategoricalIndex("sel", {"a": 0.5, "b": 0.5})
+    v = variant(q, sel)
+    after, twice = Index("after", v.outputs.o * p), Index("twice", q * 2)
+    inner = v.variants["a"].outputs.o
+    rows = [(0.25, {sel: "a", q: 4.0}), (0.25, {sel: "b", q: -3.0}), (0.5, {sel: "a", q: 9.0})]
+    r = Evaluation(Scenario(v)).evaluate([after, v.outputs.o, twice, inner, p], "regional", ensemble=rows, functions=functions, parameters={p: [1.0, 10.0]}, spark=spark)
+    np.testing.assert_array_equal(r[after], [[2, 3, 3], [20, 30, 30]])
+    np.testing.assert_array_equal(r[v.outputs.o], [[2, 3, 3]])
+    np.testing.assert_array_equal(r[twice], [[8, -6, 18]])
+    np.testing.assert_array_equal(r[inner], [[2, np.nan, 3]])
+    assert r[p].shape == (2, 1) and r.expected_value(v.outputs.o) == 0.25 * 2 + 0.25 * 3 + 0.5 * 3
+    plan = r.frame(v.outputs.o)._jdf.queryExecution().optimizedPlan().toString()
+    python = [k for k, line in enumerate(plan.split("\n")) if "ArrowEvalPython" in line]
+    assert len(python) == 2 and plan.count("Union") == 1  # one call a branch, each on rows that were filtered before
+    # no key holds: no value
+    v = variant(q, [("a", q > 5), ("b", q < 0)])
+    r = Evaluation(Scenario(v)).evaluate([v.outputs.o], "regional", ensemble=[(1.0, {q: 9.0}), (1.0, {q: -1.0}), (1.0, {q: 2.0})], functions=functions, spark=spark)
+    np.testing.assert_array_equal(r[v.outputs.o], [3, 1, np.nan])
+
+
+def test_regions_that_are_refused(spark):
+    q, p, sel = Index("q", None), Index("p", None), CategoricalIndex("sel", {"a": 0.5, "b": 0.5})
+    functions = {"fa": np.sqrt, "fb": np.square}
+    v = variant(q, sel)
+    with pytest.raises(NotImplementedError):
+        Evaluation(Scenario(v)).evaluate([v.outputs.o], "regional", functions=functions, parameters={q: [1.0], sel: ["a"]}, spark=spark)
+    w = variant(q, [("a", p > 1), ("b", True)])
+    with pytest.raises(NotImplementedError, match="PARAMETER axes"):
+        Evaluation(Scenario(w)).evaluate([w.outputs.o, p], "regional", ensemble=[(1.0, {q: 1.0})], functions=functions, parameters={p: [1.0, 2.0]}, spark=spark)
+    with pytest.raises(ValueError, match="No variant_selector found"):
+        Evaluation(Scenario(model(q))).build_plan(strategy="regional")
+    s, grown = DistributionIndex("s", dist.uniform), CategoricalIndex("sel", {"a": 0.5, "b": 0.5})
+    x = variant(s, grown)
+    e = Evaluation(Scenario(x))
+    one = e.evaluate([x.outputs.o], ensemble=DistributionEnsemble(Scenario(x), 30, seed=4), functions=functions, spark=spark)
+    h = evaluate_incremental(e, 20, [x.outputs.o], "regional", seed=4, functions=functions, spark=spark)
+    np.testing.assert_allclose(h.extend(10)[x.outputs.o], one[x.outputs.o])
+
+
+def test_functions_that_shrink_time(spark):
+    s, k, c = TimeseriesIndex("s", np.array([1.0, 5.0, 3.0])), Index("k", None), ConstTimeseriesIndex("c", np.array([0.0, 1.0, 2.0]))
+    o = Index("o", function_call("at", s * k, c, limit=k) + 1)
+    share = Index("share", s / function_call("peak", s))
+    functions = {"at": adapt(lambda x, t, limit: t[x.argmax()] + limit, "summary"), "peak": adapt(np.max, "summary")}
+    r = Evaluation(Scenario(model(s, k, c, o, share))).evaluate([o, share], parameters={k: [1.0, -1.0]}, functions=functions, spark=spark)
+    assert r[o].tolist() == [[3.0], [0.0]]
+    np.testing.assert_allclose(r[share], [[0.2, 1.0, 0.6]])
+
+
+def test_only_domain_axes_are_reduced(spark):
+    x = Index("x", None)
+    with pytest.raises(UnsupportedOperation):
+        Evaluation(Scenario(model(x, o := Index("o", expr.reduce("sum", x, Axis("x", PARAMETER)))))).evaluate([o], parameters={x: [1.0]}, spark=spark)
+
+
+def test_marginalize_and_deprecated_names(spark):
+    x = Index("x", None)
+    e = Evaluation(Scenario(model(x)))
+    r = e.evaluate([x], ensemble=[(1.0, {x: 1.0}), (3.0, {x: 5.0})], spark=spark)
+    with pytest.warns(DeprecationWarning):
+        assert r.marginalize(x) == r.expected_value(x) == 4.0
+    with pytest.warns(DeprecationWarning):
+        assert e.evaluate([x], axes={x: [7.0]}, spark=spark)[x].tolist() == [7.0]
+
+
 def test_variant_by_guards_and_as_parameter(spark):
     x = Index("x", None)
     make = lambda k, f: Model(k, inputs={"x": x}, outputs={"y": Index("y", f)})
@@ -246,15 +323,63 @@ def test_growing_equals_one_evaluation(spark):
     o = Index("o", a * 2 + b)
     m = model(a, b, o)
     e = Evaluation(Scenario(m))
-    h = evaluate_incremental(e, 30, [o], seed=5, spark=spark).extend(0).extend(20)
+    h = evaluate_incremental(e, 30, [o], seed=5, spark=spark)
+    assert h.extend(0) is h.result and h.result[o].shape == (30,)
+    assert h.extend(20) is h.result and h.result.full_shape == (50,)
     one = e.evaluate([o], ensemble=DistributionEnsemble(Scenario(m), 50, seed=5), spark=spark)
-    np.testing.assert_allclose(h[o], one[o])
-    np.testing.assert_allclose(h.expected_value(o), one.expected_value(o))
+    np.testing.assert_allclose(h.result[o], one[o])
+    np.testing.assert_allclose(h.result.expected_value(o), one.expected_value(o))
+    assert {r["weight"] for r in h.result.weights.collect()} == {1 / 50} and h.result.table(o=o).count() == 50
     with pytest.raises(NotImplementedError):
         h.extend(3, extra_parameters={a: 1})
-    later = submit_evaluate(e, 30, [o], seed=5, spark=spark).extend(20)
-    np.testing.assert_allclose(later.get(120)[o], one[o])
-    assert later.poll()
+    with pytest.raises(ValueError):
+        evaluate_incremental(e, 3, [o], ensemble=RowsEnsemble([(1.0, {a: 100.0})]))
+    with pytest.raises(NotImplementedError):
+        evaluate_incremental(e, 3, [o], ensemble=PartitionedEnsemble(Scenario(m), [EnsembleAxisSpec("x", 2, [a]), EnsembleAxisSpec("y", 2, [b])]))
+    h.release()
+    np.testing.assert_allclose(h.result[o], one[o])
+
+
+def test_growing_with_a_generator_and_parameters(spark):
+    a, p = DistributionIndex("a", dist.uniform), Index("p", None)
+    o, c = Index("o", a * p), Index("c", p + 1)
+    e = Evaluation(Scenario(model(a, p, o, c)))
+    h = evaluate_incremental(e, 3, [o, c], rng=np.random.default_rng(2), parameters={p: [1.0, 10.0]}, spark=spark)
+    r = h.extend(4)
+    g = np.random.default_rng(2)
+    u = np.concatenate([g.uniform(0, 1, 3), g.uniform(0, 1, 4)])
+    np.testing.assert_allclose(r[o], [u, 10 * u])
+    assert r[c].tolist() == [[2.0], [11.0]] and r.expected_value(c).tolist() == [2.0, 11.0]
+
+
+def test_growing_in_the_background(spark):
+    a = DistributionIndex("a", dist.uniform)
+    o = Index("o", function_call("slow", a))
+    m = model(a, o)
+    calls = spark.sparkContext.accumulator(0)
+
+    def slow(x):
+        calls.add(len(x))
+        return x * 2
+
+    functions = {"slow": adapt(slow, "vector")}
+    free = threading.Event()
+    with concurrent.futures.ThreadPoolExecutor(max_workers=1) as pool:
+        pool.submit(free.wait)
+        h = submit_evaluate(Evaluation(Scenario(m)), 20, [o], seed=5, spark=spark, pool=pool, functions=functions)
+        assert h.poll() == (False, None)
+        with pytest.raises(RuntimeError, match="still running"):
+            h.result
+        with pytest.raises(RuntimeError, match="cannot extend"):
+            h.extend(3)
+        free.set()
+        assert h.get(120)[o].shape == (20,)
+    assert calls.value == 20  # computed in the background, and kept
+    done, r = h.poll()
+    assert done and r is h.result and h.extend(10)[o].shape == (30,) and h.result.full_shape == (30,)
+    bad = submit_evaluate(Evaluation(Scenario(m)), 5, [o], spark=spark, functions={})
+    with pytest.raises(FunctionNotFound):
+        bad.get(60)
 
 
 def test_streamed_scenarios(spark, tmp_path):
