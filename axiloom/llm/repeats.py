@@ -14,7 +14,9 @@ of a LENGTH-byte string relative to the anchor, neighbours that share enough to
 block those that also share the bytes to the left are the same string.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose only what they share from LENGTH bytes on, that
-is nothing; each row is a text of its own, so rows that repeat a long text lose all of it.
+is nothing; each row is a text of its own, so rows that repeat a long text, or a doc_id with its text, lose all of it;
+rows without a doc_id are treated like any other; a text of any length is hashed in pieces and cut once; an empty table
+gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -242,8 +244,9 @@ def context_key(right: bytes, left: bytes) -> bytes:
 
 # distributed --------------------------------------------------------------------------------------------------------
 
-#: A task turns its contexts into runs when it holds so many; a merge is cut between grams after so many.
-HELD, BLOCK = 100_000, 50_000
+#: A task turns its contexts into runs when it holds so many; a merge is cut between grams after so many; and a bucket
+#: of grams is to have at most about so many.
+HELD, BLOCK, BUCKET = 100_000, 50_000, 400_000
 
 
 def _batches(schema: pa.Schema, rows, size: int = 2048):
@@ -277,8 +280,7 @@ def _repeated_grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
     often = materialize(found.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     met = found.join(often.hint("merge"), "gram", "left_semi")
     places = materialize(met.groupBy("did").agg(F.collect_set("place").alias("places")), "places")
-    release(found)
-    release(often)
+    release(found, often)
     return places
 
 
@@ -378,10 +380,12 @@ def repeated_spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     spark = docs.sparkSession
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
-    texts = texts.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("body").alias("h"), "body")
+    # two hashes name a row: neither many rows of one doc_id, or of none, nor copies of a text become one group
+    texts = texts.select("doc_id", F.xxhash64("doc_id", "body").alias("did"), F.xxhash64(F.lit("row"), "body", "doc_id").alias("h"), "body")
     long = texts.where(F.octet_length("body") >= length)
     places = _repeated_grams(long, length, gram)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    anchors_left = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), anchors_left // BUCKET)
     both = materialize(_runs(long, places, buckets, length, gram), "runs")
     release(places)
     spans = materialize(_merged_spans(both.where("run is not null").select("bucket", "run"), length, gram), "spans")

@@ -233,6 +233,10 @@ def test_repeats(spark, make, corpus, length, gram):
     assert got == want
     assert sum(b - a for r in rows.values() for a, b in r["spans"]) == sum(w[1] for w in want) > 0
     assert repeats.remove_repeats(make([])).count() == 0
+    # rows that share a doc_id, or have none, each lose what they lose by themselves
+    ids = [None if k % 2 else 5 for k in range(len(corpus))]
+    shared = Counter((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(make(corpus, ids=ids), length, gram).collect())
+    assert shared == Counter(want)
 
 
 def test_loser_tree_merges_and_keeps_prefixes():
