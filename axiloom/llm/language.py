@@ -8,8 +8,12 @@ language were is marked as rejected.
 Defined results: a null text or one without a letter is ``und`` with score 0; without training rows so is every text;
 ties go to the language first in code-point order.
 
+Rows that repeat a doc_id, or have none, are identified each; a text of any length is read whole; an empty table gives no
+rows; other columns are left alone.
+
 Fitting uses a sample of at most about PER_LANGUAGE labelled texts of each language and MOST_TEXTS of all, whole texts
-each.
+each, and of their vectors at most about MOST_BYTES. A model has at most MOST_NUMBERS numbers: with very many languages,
+n-grams are hashed to fewer bits, and then each language has one centroid; beyond that, fitting is refused.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axiloom.llm.common import map_arrow
+from axiloom.llm.common import map_arrow, materialize, release
 from axiloom.llm.sampling import sample_by_class
 
-BITS, PER_LANGUAGE, MOST_TEXTS, CENTROIDS, SHARPNESS = 14, 300, 6000, 3, 25.0
+BITS, LEAST_BITS, PER_LANGUAGE, MOST_TEXTS, CENTROIDS, SHARPNESS = 14, 10, 300, 6000, 3, 25.0
+MOST_BYTES, MOST_NUMBERS = 1 << 26, 1 << 24
 UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
 
@@ -52,6 +57,23 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray] | None:
     return at, counts[at]
 
 
+def folded(at: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same counts by fewer bits of the hash."""
+    if bits == BITS:
+        return at, n
+    at, where = np.unique(at >> (BITS - bits), return_inverse=True)
+    return at, np.bincount(where, n).astype(n.dtype)
+
+
+def shape(languages: int, centroids: int) -> tuple[int, int]:
+    """(bits, centroids of a language) of a model within MOST_NUMBERS."""
+    for k in dict.fromkeys((centroids, 1)):
+        for bits in range(BITS, LEAST_BITS - 1, -1):
+            if languages * k << bits <= MOST_NUMBERS:
+                return bits, k
+    raise ValueError(f"{languages} languages are too many for one model")
+
+
 @dataclass
 class Centroids:
     languages: list[str]
@@ -59,13 +81,14 @@ class Centroids:
     idf: np.ndarray
     vectors: np.ndarray  # n-gram by centroid
     floor: np.ndarray  # least usual cosine of each language
+    bits: int = BITS
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
         found = ngram_counts(text) if text and self.languages else None
         if found is None:
             return UNDETERMINED, 0.0, True
-        at, n = found
+        at, n = folded(*found, self.bits)
         v = (1 + np.log(n)) * self.idf[at]
         cos = v @ self.vectors[at] / np.sqrt(v @ v)
         best = np.full(len(self.languages), -1.0)
@@ -99,16 +122,22 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
                 if (found := ngram_counts(text.as_py())) is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([found[0].astype("<i4").tobytes()]), pa.array([found[1].astype("<i4").tobytes()])], ["lang", "at", "n"])
 
-    got = map_arrow(chosen.select("lang", "text"), vectors, "lang string, at binary, n binary").collect()
-    languages = sorted({r["lang"] for r in got}, key=lambda s: s.encode())
-    df = np.zeros(1 << BITS)
-    for r in got:
-        df[np.frombuffer(r["at"], "<i4")] += 1
-    idf = np.log((1 + len(got)) / (1 + df)) + 1
+    packed = materialize(map_arrow(chosen.select("lang", "text"), vectors, "lang string, at binary, n binary"), "vectors")
+    size = packed.agg(F.coalesce(F.sum(F.octet_length("at") + F.octet_length("n")), F.lit(0))).first()[0]
+    thin = F.pmod(F.xxhash64("at", "n"), F.lit(1 << 30)) < int(min(1.0, MOST_BYTES / max(1, size)) * (1 << 30))
+    got = [(r["lang"], bytes(r["at"]), bytes(r["n"])) for r in packed.where(thin).collect()]
+    release(packed)
+    languages = sorted({lang for lang, _, _ in got}, key=lambda s: s.encode())
+    bits, centroids = shape(len(languages), centroids)
+    counted = sorted((lang, *(x.tobytes() for x in folded(np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4"), bits))) for lang, at, n in got)
+    df = np.zeros(1 << bits)
+    for _, at, _ in counted:
+        df[np.frombuffer(at, "<i4")] += 1
+    idf = np.log((1 + len(counted)) / (1 + df)) + 1
     of, parts, floor = [], [], []
     for k, lang in enumerate(languages):
-        own = sorted((bytes(r["at"]), bytes(r["n"])) for r in got if r["lang"] == lang)
-        x = np.zeros((len(own), 1 << BITS), np.float32)
+        own = [(at, n) for x, at, n in counted if x == lang]
+        x = np.zeros((len(own), 1 << bits), np.float32)
         for i, (at, n) in enumerate(own):
             at = np.frombuffer(at, "<i4")
             x[i, at] = (1 + np.log(np.frombuffer(n, "<i4"))) * idf[at]
@@ -117,13 +146,13 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
         parts.append(c)
         of += [k] * len(c)
         floor.append(float(np.quantile((x @ c.T).max(axis=1), 0.01)) * 0.8)
-    vectors_ = np.concatenate(parts).T.copy() if parts else np.zeros((1 << BITS, 0), np.float32)
-    return Centroids(languages, np.array(of, int), idf, vectors_, np.array(floor))
+    vectors_ = np.concatenate(parts).T.copy() if parts else np.zeros((1 << bits, 0), np.float32)
+    return Centroids(languages, np.array(of, int), idf, vectors_, np.array(floor), bits)
 
 
 def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: languages times centroids times 2^BITS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4 * MOST_NUMBERS bytes
 
     def run(batches):
         own = shared.value

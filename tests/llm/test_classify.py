@@ -71,6 +71,63 @@ def test_language(spark, make):
     assert language.identify(docs, empty).where("lang_pred = 'und'").count() == 150
 
 
+def test_language_against_one_gram_at_a_time(spark, make, monkeypatch):
+    """Cosines from dictionaries of n-grams; with many languages, fewer bits and centroids but the same rule."""
+    texts = ["the cat and the hat", "der Hund und die Wand", "el gato y la gata", "Ü 12 ü!", "a", None, "...", "the the " * 500]
+    langs = ["en", "de", "es", "de", "en", "en", "es", "en"]
+    docs = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+
+    def grams(t, bits):
+        c = [ord(x) if x.isalpha() else 32 for x in f" {t.lower()} "]
+        out, m = Counter(), 0xFFFFFFFF
+        for i, x in enumerate(c):
+            if x != 32:
+                out[(x * 0x9E3779B1 & m) >> 32 - bits] += 1
+            two = (((c[i - 1] * 0x85EBCA6B & m) + x & m) * 0xC2B2AE35 & m) if i else 0
+            if i and (c[i - 1] != 32 or x != 32):
+                out[two >> 32 - bits] += 1
+                if i + 1 < len(c) and (x != 32 or c[i + 1] != 32):
+                    out[((two + c[i + 1] & m) * 0x27D4EB2F & m) >> 32 - bits] += 1
+        return out
+
+    for most, bits in ((1 << 24, 14), (9 << 11, 11)):
+        monkeypatch.setattr(language, "MOST_NUMBERS", most)
+        model = language.fit(docs)
+        assert model.bits == bits and model.vectors.shape == (1 << bits, len(model.of))
+        for r in language.identify(docs, model).collect():
+            t = texts[r["doc_id"]]
+            if t is None or not any(x.isalpha() for x in t):
+                assert r["lang_pred"] == "und"
+                continue
+            v = {g: (1 + np.log(n)) * model.idf[g] for g, n in grams(t, bits).items()}
+            norm = np.sqrt(sum(x * x for x in v.values()))
+            best = {}
+            for j, k in enumerate(model.of):
+                best[k] = max(best.get(k, -1.0), sum(x * model.vectors[g, j] for g, x in v.items()) / norm)
+            top = max(sorted(best), key=best.get)
+            share = 1 / sum(np.exp(language.SHARPNESS * (x - best[top])) for x in best.values())
+            assert r["lang_pred"] == model.languages[top] and abs(r["score"] - share) < 1e-4
+    monkeypatch.undo()
+    assert language.shape(3, 3) == (14, 3) and language.shape(2000, 3) == (11, 3)
+    with pytest.raises(ValueError):
+        language.shape(1 << 20, 3)
+
+
+def test_repeated_and_missing_ids_are_judged_one_by_one(spark, make, corpus):
+    """Every classifier gives a row for each row, whatever the ids, and the same verdict as with ids of their own."""
+    ids = [None if k % 3 == 0 else 7 for k in range(len(corpus))]
+    marks = spark.createDataFrame([(k, k % 2, k % 2) for k in range(len(corpus))], "doc_id long, quality int, toxic int")
+    own, shared = make(corpus), make(corpus, ids=ids)
+    tagger, rules = toxicity.fit(own, marks), marks.where("false")
+    langs = language.fit(own.withColumn("lang", own["keep_id"]))
+    pairs = [
+        (lambda d: language.identify(d, langs), ["lang_pred", "score"]), (lambda d: toxicity.score(d, tagger), ["score"]), (lambda d: quality.quality(d, rules), ["n_words", "n_repeat_words", "kept"]),
+    ]
+    for run, columns in pairs:
+        one, two = (Counter(tuple(r[c] for c in columns) for r in run(d).collect()) for d in (own, shared))
+        assert one == two and sum(one.values()) == len(corpus)
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(4)
     for n in (1, 2, 5, 7):
