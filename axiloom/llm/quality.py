@@ -155,7 +155,7 @@ def _cover(cells: list[tuple[tuple[int, ...], tuple[int, ...]]], names: list[str
 
     def best_condition(inside: np.ndarray):
         """The condition with the most FOIL-like gain on the cells inside; of those on the same feature and side
-        that come within a twentieth of it, the one that rejects the fewest rows."""
+        that come within a twentieth of it, the one that rejects the fewest rows, and of those the strictest."""
         bad, good = counts[inside, 0].sum(), counts[inside, 1].sum()
         seen = []
         for k, f in enumerate(names):
@@ -168,7 +168,7 @@ def _cover(cells: list[tuple[tuple[int, ...], tuple[int, ...]]], names: list[str
         if worth <= 1e-9:
             return None
         close = [s for s in seen if s[2][:2] == best[:2] and s[0] >= 0.95 * worth]
-        return min(close, key=lambda s: s[1])[2]
+        return min(close, key=lambda s: (s[1], -s[2][2] if s[2][1] else s[2][2]))[2]
 
     def pruned_value(rule) -> float:
         zeros, ones = counts[left & all_hold(rule)][:, 2:].sum(axis=0)
