@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +19,8 @@ from pyspark.sql.window import Window
 #: The white space that separates words, and its complement.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: The column that with_row_key() adds.
-ROW = "_axiloom_row"
+#: The columns that with_row_key() adds.
+ROW = ("_axiloom_file", "_axiloom_row")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: dict[str, str] = {}
@@ -79,9 +80,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether each row of df is a row of a file: a table as it is read, some of its columns or rows."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation" and "_metadata" not in df.columns
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """df with a number of its own for each row in ROW. It is written, so that every reading finds the same numbers."""
-    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """df with columns ROW that tell its rows apart: the file and the place in it that a row is read from, or for what is
+    not read from files, which is then written, a number. Every reading finds the same."""
+    if _is_scan(df):
+        try:
+            keyed = df.select("*", F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+            keyed.schema  # noqa: B018: files of another format know no places
+            return keyed
+        except AnalysisException:
+            pass
+    return materialize(df.select("*", F.lit(0).cast("long").alias(ROW[0]), F.monotonically_increasing_id().alias(ROW[1])), name)
 
 
 def release(*tables: DataFrame) -> None:

@@ -88,11 +88,11 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str =
     null or repeated. An empty table gives an empty one."""
     rows = with_row_key(docs, "exact-rows")
     own = index or DigestIndex(docs.sparkSession, fresh_path(docs.sparkSession, "digest-index"))
-    first = F.max(F.struct("doc_id", (-F.col(ROW)).alias("at")))
-    groups = materialize(distinct_digests(rows.select("doc_id", ROW, text_digest(F.col("text")).alias("digest")), first.alias("first")), "groups")
+    first = F.max(F.struct("doc_id", *ROW))
+    groups = materialize(distinct_digests(rows.select("doc_id", *ROW, text_digest(F.col("text")).alias("digest")), first.alias("first")), "groups")
     own.append(groups, batch)
     if index is None:
         own.forget()
     new = own.entries().where(F.col("batch") == batch).select("digest")
-    stay = groups.join(new.hint("merge"), "digest", "left_semi").select((-F.col("first.at")).alias(ROW))
-    return rows.join(stay.hint("merge"), ROW, "left_semi").select(*docs.columns)
+    stay = groups.join(new.hint("merge"), "digest", "left_semi").select(*[F.col(f"first.{c}").alias(c) for c in ROW])
+    return rows.join(stay.hint("merge"), list(ROW), "left_semi").select(*docs.columns)

@@ -143,20 +143,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix uses them, in the order of the schedule: as many rows of each as it takes the whole text,
-    a part of half a text or more counting as whole, each where the schedule first takes from it that time round. Since
-    a source is used in one stretch, at most one document of each is taken in part.
+    """The documents as the mix uses them: as many rows of each as it takes the whole text, a part of half a text or more
+    counting as whole. Since a source is used in one stretch, at most one document of each is taken in part.
 
-    Rows are told apart by a key, as a doc_id may be null or repeated; empty texts are never taken. The files that the
-    result is written to follow each other in the schedule's time, as do the rows in each.
+    Rows are told apart by a key, as a doc_id may be null or repeated; empty texts are never taken. Each partition is a
+    random share of the mix in the order of the schedule, each row standing where the schedule first takes from it that
+    time round: a beginning of any file, and so of all of them read side by side, is mixed like the whole. To put all of
+    it into one order would cost another shuffle of the texts.
     """
     rows = with_row_key(docs, "mixing-rows")
     times = F.expr("cast(floor(taken / greatest(size, 1) + 0.5) as int)")
-    used = mix(rows, carry=[ROW])[0].withColumn("_times", times).where("_times > 0")
-    copies = materialize(used.select(ROW, F.explode(F.slice(F.array_sort(F.array_compact("starts")), F.lit(1), F.col("_times"))).alias("_slot")), "copies")
-    last = copies.agg(F.max("_slot")).first()[0] or 0
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    used = mix(rows, carry=ROW)[0].withColumn("_times", times).where("_times > 0")
+    copies = used.select(*ROW, F.slice(F.array_sort(F.array_compact("starts")), F.lit(1), F.col("_times")).alias("_slots"))
     row = F.struct(*[rows[c] for c in docs.columns]).alias("_row")
-    met = rows.join(copies.hint("merge"), ROW).select(row, "_slot", ROW)
-    part = (F.col("_slot") / F.lit(last + 1.0) * parts).cast("int")
-    return met.repartitionById(parts, part).sortWithinPartitions("_slot", ROW).select("_row.*")
+    met = rows.join(copies.hint("merge"), list(ROW)).select(row, *ROW, F.explode("_slots").alias("_slot"))
+    return met.sortWithinPartitions("_slot", *ROW).select("_row.*")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axiloom.llm.common import SPACE, let, materialize, words
+from axiloom.llm.sampling import sample_by_class
 
 #: What rules may test, as ratios of the counted statistics.
 FEATURES = {
@@ -27,6 +28,8 @@ FEATURES = {
     "capitals": "n_capitals / greatest(word_chars, 1)", "echoes": "n_echoes / greatest(n_words, 1)",
 }
 WINDOW, MOST_CONDITIONS = 5, 4
+#: Labelled rows of each class that the pipeline's list is learned from, about.
+PER_CLASS = 10_000
 
 
 def _covered(windows: Column) -> Column:
@@ -203,11 +206,15 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.select(*out, base_failed().alias("base_failed"), rules.kept().alias("kept"), rules.rejects().alias("rule"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_low_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of ``docs`` that the base rules or the learned list don't reject, all columns as they are, whatever their
-    names. Statistics are computed once and written beside the rows, so that no text is read twice for them or shuffled.
-    Rows that repeat a doc_id, or have none, are judged each by its own text; an empty table gives an empty one."""
+    names. The list is learned from at most about ``per_class`` labelled rows of each class, so that statistics are
+    computed about once, beside the texts, of which none is shuffled or written. Rows that repeat a doc_id, or have
+    none, are judged each by its own text; an empty table gives an empty one."""
+    marks = labels.where("quality in (0, 1) and doc_id is not null")
+    few = sample_by_class(marks, "quality", F.col("doc_id"), per_class).select("doc_id", "quality")
+    # few by the sample's bound, which is what makes a broadcast fit at any size of the tables
+    some = docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi")
+    rules = learn(with_statistics(some).drop("text"), few)
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
-    wide = materialize(with_statistics(inner, "_text").drop("_text"), "judged-rows")
-    rules = learn(wide.select(F.col("_row.doc_id").alias("doc_id"), *[c for c in wide.columns if c != "_row"]), labels)
-    return wide.where(rules.kept()).select("_row.*")
+    return with_statistics(inner, "_text").where(rules.kept()).select("_row.*")

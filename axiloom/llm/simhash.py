@@ -21,6 +21,7 @@ rows with a null doc_id link like any other, and component_id is null only where
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations, repeat
 
 import numpy as np
@@ -68,9 +69,9 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) of each row; fp as a signed long. Another ``key`` (long) comes in front of them."""
-    columns = list(dict.fromkeys((key, "doc_id")))
+def fingerprints(docs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp) of each row; fp as a signed long. More ``keys`` (long) come in front of them."""
+    columns = [*keys, "doc_id"]
 
     def run(batches):
         for b in batches:
@@ -256,6 +257,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = with_row_key(docs, "near-rows")
     prints = materialize(fingerprints(rows, ROW), "fingerprints")
     found = prints.join(components(prints).hint("merge"), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
-    stay = found.groupBy("root").agg(first.alias("first")).select(F.col("first")[ROW].alias(ROW))
-    return rows.join(stay.hint("merge"), ROW, "left_semi").select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW))
+    stay = found.groupBy("root").agg(first.alias("first")).select(*[F.col(f"first.{c}").alias(c) for c in ROW])
+    return rows.join(stay.hint("merge"), list(ROW), "left_semi").select(*docs.columns)

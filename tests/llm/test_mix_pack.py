@@ -105,10 +105,10 @@ def test_the_schedule_decides_when_documents_come(spark, make, monkeypatch):
                 have[r["source"]] += r["length"]
                 at += r["length"]
         assert all(abs(have[s] / at - share[s]) < 0.02 for s in share)
-    # and in the table that the pipeline goes on with
-    rows = [r for f in mixing.mixed_documents(docs).rdd.glom().collect() for r in f]
+    # and in the table that the pipeline goes on with, whose partitions are read side by side
+    parts = mixing.mixed_documents(docs).rdd.glom().collect()
     for part in (0.2, 0.5):
-        some = rows[: int(part * len(rows))]
+        some = [r for f in parts for r in f[: int(part * len(f))]]
         words = sum(r["text"].count("w") for r in some)
         assert all(abs(sum(r["text"].count("w") for r in some if r["source"] == s) / words - share[s]) < 0.06 for s in share)
     # another schedule, another order
