@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axiloom.llm.common import ROW, map_arrow, materialize, with_row_key
+from axiloom.llm.common import ROW, map_arrow, materialize, release, with_row_key
 from axiloom.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -242,7 +242,9 @@ def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return materialize(named.join(least.hint("merge"), "root").select("fp", "root", "component_id"), "components")
+    found = materialize(named.join(least.hint("merge"), "root").select("fp", "root", "component_id"), "components")
+    release(nodes, named)
+    return found
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
