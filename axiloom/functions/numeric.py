@@ -66,7 +66,8 @@ def _arithmetic(f: Callable[[Column, Column], Column], bools: str) -> Callable[[
 
 def divide(a: Typed, b: Typed) -> Column:
     x, y = real(a), real(b)
-    at_zero = F.when((x == 0) | F.isnan(x), F.lit(NAN)).when((x > 0) == _positive_zero(y), F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    # no otherwise: a missing value over zero is missing
+    at_zero = F.when((x == 0) | F.isnan(x), F.lit(NAN)).when((x > 0) == _positive_zero(y), F.lit(float("inf"))).when(x.isNotNull(), F.lit(float("-inf")))
     return F.when(y == 0, at_zero).otherwise(x / F.when(y == 0, F.lit(1.0)).otherwise(y))
 
 
