@@ -107,7 +107,7 @@ def compare(op: str) -> Callable[[Typed, Typed], Column]:
 
 def log(x: Typed) -> Column:
     c = real(x)
-    return F.when(c > 0, F.ln(F.when(c > 0, c).otherwise(F.lit(1.0)))).when(c == 0, F.lit(float("-inf"))).otherwise(F.lit(NAN))
+    return F.when(c > 0, F.ln(F.when(c > 0, c).otherwise(F.lit(1.0)))).when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(NAN))
 
 
 def negate(x: Typed) -> Column:

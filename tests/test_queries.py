@@ -66,6 +66,14 @@ def test_division_of_missing_values(spark, tmp_path):
     assert [[str(v) for v in r] for r in got] == [[str(v) for v in r] for r in want]
 
 
+def test_logarithm_of_missing_values(spark, tmp_path):
+    got, want = odd_items(spark, tmp_path, "q_power_exp_log_max")
+    assert len(got) == 180
+    for r, s in zip(got, want):
+        assert [v is None for v in r] == [w is None for w in s], (r, s)
+        assert np.allclose([v for v in r if v is not None], [w for w in s if w is not None], rtol=1e-9, atol=2e-6, equal_nan=True), (r, s)
+
+
 def test_the_rest_works_without_llm():
     code = "import sys; sys.modules['axiloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'q_expected_value' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
